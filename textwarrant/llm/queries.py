@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import linededup, mixing, sharding, simhash
+from textwarrant.llm import bpe, linededup, mixing, sharding, simhash
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_simhash"] = op7_simhash
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("tokens"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES["op8_bpe"] = op8_bpe
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.drop_boilerplate(docs).select("doc_id", "text", "line_count", "line_dropped")
