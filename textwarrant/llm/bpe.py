@@ -11,14 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 #: Bytes of text whose distinct words are folded together, as one row.
 BLOCK_BYTES = 24_000_000
 #: Words of more bytes come to the fold with their merges done: a fold looks at every pair in every round.
 LONG_WORD = 64
-BUCKETS = 1 << 17
-SPREAD = 40503
+#: Above any id, and a mask for differences of cells; EMPTY belongs to no left id.
+IDS = 1 << 24
+MASK = (1 << 62) - 1
+EMPTY = (1 << 60) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,28 +40,50 @@ def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return table
 
 
-def _rank_map(table: dict[tuple[int, int], int]) -> Column:
-    """The merge table as a literal: an array of small buckets of (key, id)."""
-    buckets: list[dict | None] = [None] * BUCKETS
-    for (a, b), merged in table.items():
-        at = (a * SPREAD + b) % BUCKETS
-        held = buckets[at] = buckets[at] or {"k": [], "v": []}
-        held["k"].append(a << 32 | b)
-        held["v"].append(merged)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k: array<bigint>, v: array<int>>>")
+def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
+    """The merge table in two flat arrays: cell[start[left] + right] = left * IDS + merged.
 
-
-def fold_merges(word: Column, table: dict[tuple[int, int], int]) -> Column:
-    """The ids of a word given as the ids of its bytes (array<int>).
+    The rows of the sparse table, longest first, lie over one another where their
+    filled cells leave gaps; a cell says whose it is.
+    """
+    rows: dict[int, list[int]] = {}
+    for left, right in table:
+        rows.setdefault(left, []).append(right)
+    start, cell = np.zeros(ids, np.int64), np.full(7 * ids, EMPTY, np.int64)
+    draw = np.random.default_rng(0)
+    for left, rights in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        at = np.array(sorted(rights))
+        first = 0
+        while True:
+            # long rows take the first fit, short ones any of the many
+            tried = np.arange(first, first + 512) if len(at) > 64 else draw.integers(0, len(cell) - ids, 64)
+            tried = tried[tried <= len(cell) - ids]
+            if not len(tried):
+                cell = np.r_[cell, np.full(ids, EMPTY, np.int64)]
+                continue
+            free = tried[(cell[tried[:, None] + at[:64]] == EMPTY).all(axis=1)]
+            found = next((int(t) for t in free if (cell[t + at] == EMPTY).all()), None)
+            if found is not None:
+                break
+            first += 512
+        start[left] = found
+        cell[found + at] = [left * IDS + table[left, int(r)] for r in at]
+    last = int(np.flatnonzero(cell != EMPTY).max(initial=0)) + 1
+    end = max(last, int(start.max(initial=0)) + ids)
+    return start.tolist(), cell[:end].tolist()
+
+
+def fold_merges(word: Column, table: dict[tuple[int, int], int], ids_: int) -> Column:
+    """The ids (array<bigint>) of a word given as the ids of its bytes, array<bigint>; all ids are below ``ids_``.
 
     Each round merges the leftmost pair of the lowest rank; a word of n bytes
     has n - 1 rounds at most, and rounds after the last merge do nothing.
     """
-    buckets = _rank_map(table)
+    start, cells = (F.from_json(F.lit(json.dumps(x)), f"array<{kind}>") for x, kind in zip(_displaced(table, ids_), ("int", "bigint"), strict=True))
 
     def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(buckets, (a.cast("long") * SPREAD + b).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.get(bucket["v"], (F.array_position(bucket["k"], F.shiftleft(a.cast("long"), 32) + b) - 1).cast("int"))
+        """The merged id; IDS or more where the two don't merge."""
+        return (F.get(cells, F.get(start, a) + b) - a * F.lit(IDS)).bitwiseAND(F.lit(MASK))
 
     def let(value: Column, then) -> Column:
         return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -69,16 +93,18 @@ def fold_merges(word: Column, table: dict[tuple[int, int], int]) -> Column:
         found = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), rank)
 
         def at_lowest(ranks: Column) -> Column:
-            lowest = F.array_min(ranks)
-            at = F.coalesce(F.array_position(ranks, lowest), F.lit(0)).cast("int")
-            done = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(lowest), F.slice(ids, at + 2, n))
-            return F.when(at == 0, F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(done.alias("ids"), (n > 2).alias("more")))
+            return let(F.struct(ranks.alias("r"), F.array_min(ranks).alias("low")), joined)
+
+        def joined(x: Column) -> Column:
+            at = F.array_position(x["r"], x["low"]).cast("int")
+            done = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(x["low"]), F.slice(ids, at + 2, n))
+            return F.when(x["low"] >= IDS, F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(done.alias("ids"), (n > 2).alias("more")))
 
         return let(found, at_lowest)
 
-    start = F.struct(word.alias("ids"), (F.size(word) > 1).alias("more"))
+    begin = F.struct(word.alias("ids"), (F.size(word) > 1).alias("more"))
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, start, lambda s, _: F.when(s["more"], merged(s["ids"])).otherwise(s), lambda s: s["ids"])
+    return F.aggregate(rounds, begin, lambda s, _: F.when(s["more"], merged(s["ids"])).otherwise(s), lambda s: s["ids"])
 
 
 def heap_merges(ids: list[int], table: dict[tuple[int, int], int]) -> list[int]:
@@ -118,7 +144,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     whole = _unmerged(ranks, table)
     byte_ids = [ranks[bytes([b])] for b in range(256)]
     kept = StructType([docs.schema[c] for c in keep])
-    words_type = ArrayType(ArrayType(IntegerType()))
+    words_type = ArrayType(ArrayType(LongType()))
     block_type = StructType([StructField("rows", ArrayType(kept)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType())), StructField("words", words_type)])
     packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
 
@@ -126,35 +152,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         import regex
 
         find = regex.compile(pattern).findall
-        lookup = np.array(byte_ids, np.int32)
+        lookup = np.array(byte_ids, np.int64)
 
         def block(rows: list[pa.Array], counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
-            units = []
-            for word in seen:
-                raw = word.encode("utf-8", "surrogatepass")
-                if raw in whole:
-                    units.append(np.array([ranks[raw]], np.int32))
-                elif len(raw) > LONG_WORD:
-                    units.append(np.array(heap_merges(lookup[np.frombuffer(raw, np.uint8)].tolist(), table), np.int32))
-                else:
-                    units.append(lookup[np.frombuffer(raw, np.uint8)])
+            raw = [w.encode("utf-8", "surrogatepass") for w in seen]
+            units = {i: [ranks[r]] if r in whole else heap_merges(lookup[np.frombuffer(r, np.uint8)].tolist(), table) for i, r in enumerate(raw) if len(r) > LONG_WORD or r in whole}
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            flat = lookup[np.frombuffer(b"".join(raw), np.uint8)]
+            if units:
+                parts = np.split(flat, np.cumsum(sizes)[:-1])
+                for i, unit in units.items():
+                    parts[i], sizes[i] = np.array(unit, np.int64), len(unit)
+                flat = np.concatenate(parts)
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
             held = pa.concat_arrays(rows)
-            columns = [held, pa.array(counts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *places])), _lists(units)]
+            columns = [held, pa.array(counts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *places])), words]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
             return pa.RecordBatch.from_arrays(lists, names=["rows", "counts", "places", "words"])
 
-        rows, counts, places, seen, size = [], [], [], {}, 0
+        rows, counts, places, seen, size = [], [], [], _Places(), 0
         for batch in batches:
             row, text = batch.column(0), batch.column(1)
             taken = 0
-            for i, value in enumerate(text):
-                words = find(value.as_py() or "")
-                places.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+            for i, value in enumerate(text.to_pylist()):
+                words = find(value or "")
+                places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 counts.append(len(words))
-                size += len(value.as_py() or "")
+                size += len(value or "")
                 if size >= BLOCK_BYTES:
                     yield block([*rows, row.slice(taken, i + 1 - taken)], counts, places, seen)
-                    rows, counts, places, seen, size, taken = [], [], [], {}, 0, i + 1
+                    rows, counts, places, seen, size, taken = [], [], [], _Places(), 0, i + 1
             if taken < len(row):
                 rows.append(row.slice(taken))
         if counts:
@@ -176,11 +203,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
                     yield pa.RecordBatch.from_arrays([row.slice(first, 256), tokens, binary], names=["row", "tokens", "packed"])
 
     held = packed.mapInArrow(blocks, block_type)
-    held = held.withColumn("words", F.transform("words", lambda w: fold_merges(w, table)))
+    held = held.withColumn("words", F.transform("words", lambda w: fold_merges(w, table, max(ranks.values()) + 1)))
     out = StructType([StructField("row", kept), StructField("tokens", ArrayType(IntegerType())), StructField("packed", BinaryType())])
     return held.mapInArrow(texts, out).select("row.*", "tokens", "packed")
 
 
+class _Places(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _unmerged(ranks: dict[bytes, int], table: dict[tuple[int, int], int]) -> frozenset[bytes]:
     """Tokens that their own bytes' merges don't reach: as whole words they are taken as they are."""
     return frozenset(t for t, r in ranks.items() if len(t) > 1 and heap_merges([ranks[t[i : i + 1]] for i in range(len(t))], table) != [r])
