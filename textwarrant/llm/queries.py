@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import bpe, linededup, mixing, sharding, simhash
+from textwarrant.llm import bpe, linededup, mixing, sharding, simhash, tokencount
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ b as (select c.source, list(line) bad from c join n on c.source is not distinct
 f as (select doc_id, text, ls, list_filter(ls, lambda x: trim(x, ' ') = '' or bad is null or not list_contains(bad, trim(x, ' '))) kept from u left join b on u.source is not distinct from b.source)
 select doc_id, array_to_string(kept, chr(10)) as text, coalesce(len(ls), 0)::int line_count, coalesce(len(ls) - len(kept), 0)::int line_dropped from f
 """
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", tokencount.token_count(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("n_tokens"))
+
+
+QUERIES["op10_token_counts"] = op10_token_counts
