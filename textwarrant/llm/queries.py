@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import bpe, linededup, mixing, sharding, simhash, tokencount
+from textwarrant.llm import bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,30 @@ select doc_id, size, source_size, target, (size * (copies + case when part > 0 a
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES["op3_language_id"] = op3_language_id
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(load(spark, sf_dir, "pages"))
+    return found.select(warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id(F.col("refers_to")).alias("refers_to"))
+
+
+QUERIES["op4_warc"] = op4_warc
+ORACLES["op4_warc"] = r"""
+with p as (select page_id, coalesce(html, '') html from pages),
+m as (select page_id, strlen(html)::bigint payload_bytes, sha1(html) h, max(page_id) over (partition by html) newest from p)
+select page_id, payload_bytes,
+ list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i * 5 // 4 + 1)::int, 2))::int) >> (3 - i * 5 % 4)::int) & 31) + 1, 1)), lambda a, b: a || b) as payload_digest,
+ case when page_id = newest then 'response' else 'revisit' end as record_type,
+ case when page_id = newest then null else newest end as refers_to from m
+"""
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_by_bytes(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
