@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
+from textwarrant.llm import ann, bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ select doc_id, size, source_size, target, (size * (copies + case when part > 0 a
 """
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op2_hilbert_ann"] = op2_hilbert_ann
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
