@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import ann, bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
+from textwarrant.llm import ann, bm25, bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,24 @@ select page_id, payload_bytes,
 """
 
 
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+QUERIES["op5_bm25"] = op5_bm25
+ORACLES["op5_bm25"] = r"""
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term from documents),
+t as (select doc_id, term, count(*) tf from w group by all),
+d as (select doc_id, sum(tf) dl from t group by all),
+n as (select count(*) n, (select sum(dl) from d) / count(*) mean from documents),
+f as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) idf from t, n group by term, n),
+s as (select q.doc_id query_id, t.doc_id, round(sum(idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) score
+      from t q join f using (term) join t on t.term = q.term join d on d.doc_id = t.doc_id, n where q.doc_id % 100 = 0 group by all)
+select query_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) where rank <= 10
+"""
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_by_bytes(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
