@@ -1,13 +1,23 @@
-"""Text as columns: normalisation and words."""
+"""Text as columns: normalisation, words, terms, sentences, spans."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Java's \w differs from the Unicode meaning that is wanted here, with or without its flag.
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Lower case, without punctuation, words parted by single spaces."""
     bare = F.regexp_replace(F.lower(text), PUNCTUATION, "")
@@ -17,3 +27,62 @@ def normalize(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text that is already normalised; none for an empty one."""
     return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def runs(words_: Column, n: int) -> Column:
+    """All runs of ``n`` words in order, each as one string."""
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words_, of)
+
+
+def chunks(text: Column, size: int) -> Column:
+    """A text in pieces of ``size`` characters; an empty one has no piece."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    pieces = F.transform(starts, lambda i: F.substr(text, i * size + 1, F.lit(size)))
+    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def _pieces(text: Column, find: Callable[[str], Iterable[tuple[int, int]]]) -> Column:
+    """array<struct<text, start, end>> of the places that ``find`` tells; none for null.
+
+    Spark has no function that tells where matches are, and a fold that carries
+    the place copies what it has gathered at every step.
+    """
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [(t[a:b], a, b) for a, b in find(t)] for t in texts], dtype=object)
+
+    return F.pandas_udf(of, "array<struct<text:string,start:int,end:int>>")(text)
+
+
+def sentence_spans(text: Column) -> Column:
+    """array<struct<text, start, end>> of sentences, half open, without the white space around them.
+
+    A sentence ends with one of ``. ! ? ؟`` before white space, or at a line's end.
+    """
+    end = re.compile(r"(?<=[.!?؟])(?=\s)|\n")
+
+    def find(value: str) -> Iterable[tuple[int, int]]:
+        at = 0
+        for stop in [*(m.end() for m in end.finditer(value)), len(value)]:
+            part = value[at:stop]
+            if body := part.strip():
+                lead = len(part) - len(part.lstrip())
+                yield at + lead, at + lead + len(body)
+            at = stop
+
+    return _pieces(text, find)
+
+
+def token_spans(text: Column) -> Column:
+    """array<struct<text, norm, start, end>>: the words of a text as written, normalised, with their places.
+
+    What is punctuation only is no word.
+    """
+    found = _pieces(text, lambda value: (m.span() for m in re.finditer(r"\S+", value)))
+    named = F.transform(found, lambda x: F.struct(x["text"].alias("text"), normalize(x["text"]).alias("norm"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.filter(named, lambda x: x["norm"] != "")

@@ -5,38 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarrant.functions.text import normalize, words
+from textwarrant.functions.text import normalize, runs, words
 
 SEED_WORDS = 3
 
 
-def _seeds(words_: Column, n: int) -> Column:
-    """All runs of ``n`` words, each as one string; distinct."""
-    starts = F.sequence(F.lit(1), F.size(words_) - F.lit(n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words_, i, n), " "))
-    return F.when(F.size(words_) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def exact_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's first row of the same normalised form, and the number of others.
+
+    Forms are grouped by a hash pair before the ids are joined back, so that a
+    form of very many rows is one row of the joined side.
+    """
+    form = normalize(F.col(text_col))
+    keyed = docs.select(id_col, F.xxhash64(form).alias("h"), F.crc32(form.cast("binary")).alias("c"), F.length(form).alias("n"))
+    groups = keyed.groupBy("h", "c", "n").agg(F.min(id_col).alias("first_id"), (F.count(F.lit(1)) - 1).alias("other_matches"))
+    return keyed.join(groups, ["h", "c", "n"]).select(id_col, "first_id", "other_matches")
 
 
 def containment(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str, min_words: int = SEED_WORDS) -> DataFrame:
     """Pairs where a needle occurs as consecutive whole words of a text.
 
     Both sides have a ``text`` column. The first ``min_words`` words of a needle
-    are the key of an equi-join with the runs of as many words of the texts,
-    which are kept only where a needle has that key; the few pairs that meet are
-    then compared in full. Needles of fewer words match nothing.
+    are the key of an equi-join with the runs of as many words of the texts;
+    the pairs that meet are then compared in full. Needles of fewer words match
+    nothing.
     """
     left = needles.select(needle_id, normalize(F.col("text")).alias("needle"))
     left = left.withColumn("w", words(F.col("needle"))).filter(F.size("w") >= min_words)
     left = left.select(needle_id, "needle", F.array_join(F.slice("w", 1, min_words), " ").alias("seed"))
     right = texts.select(text_id, normalize(F.col("text")).alias("form"))
-    hits = right.select(text_id, "form", F.explode(_seeds(words(F.col("form")), min_words)).alias("seed")).join(left, "seed")
-    return hits.filter(F.concat(F.lit(" "), "form", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).select(
-        needle_id, text_id, F.when(F.col("form") == F.col("needle"), "full").otherwise("partial").alias("match_type")
-    )
+    seeds = right.select(text_id, F.explode(F.array_distinct(runs(words(F.col("form")), min_words))).alias("seed"))
+    pairs = seeds.join(left, "seed").select(needle_id, text_id, "needle")
+    hits = pairs.join(right, text_id)
+    whole = F.concat(F.lit(" "), "form", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))
+    return hits.filter(whole).select(needle_id, text_id, F.when(F.col("form") == F.col("needle"), "full").otherwise("partial").alias("match_type"))
 
 
 def first_source(pairs: DataFrame, needle_id: str, text_id: str) -> DataFrame:
     """Each needle's first text and the number of its other texts."""
-    by = Window.partitionBy(needle_id)
-    ranked = pairs.withColumn("rn", F.row_number().over(by.orderBy(text_id))).withColumn("other_matches", F.count(F.lit(1)).over(by) - 1)
-    return ranked.filter("rn = 1").drop("rn")
+    least = pairs.groupBy(needle_id).agg(F.min(F.struct(text_id, "match_type")).alias("first"), (F.count(F.lit(1)) - 1).alias("other_matches"))
+    return least.select(needle_id, "first.*", "other_matches")
+
+
+def locate(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str, min_words: int = SEED_WORDS) -> DataFrame:
+    """Where a contained needle first occurs: its first word's place, from 0, and its number of words."""
+    pairs = containment(needles, texts, needle_id, text_id, min_words).select(needle_id, text_id)
+    left = needles.select(needle_id, normalize(F.col("text")).alias("needle"))
+    right = texts.select(text_id, normalize(F.col("text")).alias("form"))
+    joined = pairs.join(left, needle_id).join(right, text_id)
+    ahead = F.call_function("substring_index", F.concat(F.lit(" "), "form", F.lit(" ")), F.concat(F.lit(" "), F.col("needle"), F.lit(" ")), F.lit(1))
+    return joined.select(needle_id, text_id, F.size(words(ahead)).alias("word_start"), F.size(words(F.col("needle"))).alias("n_words"))
+
+
+def cascade(stages: list[DataFrame], by: str) -> DataFrame:
+    """Rows of the first stage that has any for a key; adds ``stage``, from 1."""
+    rows = [s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages, 1)]
+    union = rows[0]
+    for r in rows[1:]:
+        union = union.unionByName(r)
+    first = union.groupBy(by).agg(F.min("stage").alias("first_stage"))
+    return union.join(first, by).filter("stage = first_stage").drop("first_stage")
+
+
+def verbatim_runs(refs: DataFrame, texts: DataFrame, ref_id: str, text_id: str, min_words: int = 4) -> DataFrame:
+    """Maximal runs of at least ``min_words`` words that a text shares with a reference.
+
+    Runs of ``min_words`` words meet in an equi-join; meetings next to each other
+    on one diagonal (place in the text less place in the reference) are islands.
+    Returns ref_id, text_id, text_start, ref_start and n_words, places from 0.
+    """
+
+    def grams(df: DataFrame, key: str, place: str) -> DataFrame:
+        return df.select(key, F.posexplode(runs(words(normalize(F.col("text"))), min_words)).alias(place, "gram"))
+
+    met = grams(texts, text_id, "i").join(grams(refs, ref_id, "j"), "gram")
+    line = Window.partitionBy(text_id, ref_id, F.col("i") - F.col("j")).orderBy("i")
+    met = met.withColumn("island", F.col("i") - F.row_number().over(line))
+    islands = met.groupBy(text_id, ref_id, (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("text_start"), F.min("j").alias("ref_start"), F.count(F.lit(1)).alias("n"))
+    return islands.select(ref_id, text_id, "text_start", "ref_start", (F.col("n") + min_words - 1).alias("n_words"))
+
+
+def greedy_runs(maximal: DataFrame, text_id: str, min_words: int = 4) -> DataFrame:
+    """Left to right, the longest run at each first open place; kept runs don't overlap.
+
+    Runs are clipped to the words after the last kept one; of those that begin
+    first the longest stays if ``min_words`` words are left.
+    """
+    spans = maximal.groupBy(text_id).agg(F.sort_array(F.collect_set(F.struct(F.col("text_start").alias("s"), (F.col("text_start") + F.col("n_words")).cast("int").alias("e")))).alias("spans"))
+    kind = "array<struct<s:int,e:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
+
+    def step(state: Column, _: Column) -> Column:
+        open_ = F.filter(F.transform("spans", lambda x: F.struct(F.greatest(x["s"], state["at"]).alias("s"), (-x["e"]).alias("e"))), lambda x: -x["e"] - x["s"] >= min_words)
+        best = F.array_min(open_)
+        kept = F.concat(state["kept"], F.array(F.struct(best["s"].alias("s"), (-best["e"]).alias("e"))))
+        return F.when(F.size(open_) == 0, state).otherwise(F.struct((-best["e"]).alias("at"), kept.alias("kept")))
+
+    kept = F.aggregate("spans", begin, step, lambda s: s["kept"])
+    return spans.select(text_id, F.explode(kept).alias("k")).select(text_id, F.col("k.s").alias("text_start"), (F.col("k.e") - F.col("k.s")).alias("n_words"))

@@ -6,24 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarrant.operators import match
-from textwarrant.tables import load
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = match.containment(load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents"), "item_id", "doc_id")
-    return match.first_source(pairs, "item_id", "doc_id")
+def query(oracle: str | None = None) -> Callable:
+    """Registers a function by its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
 
-QUERIES["verbatim_containment"] = verbatim_containment
-ORACLES["verbatim_containment"] = r"""
-with d as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) form from documents),
-b as (select item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) needle from benchmark),
-p as (select item_id, doc_id, case when form = needle then 'full' else 'partial' end match_type
-      from b join d on contains(' ' || form || ' ', ' ' || needle || ' ') where len(string_split(needle, ' ')) >= 3)
-select item_id, doc_id, match_type, n - 1 as other_matches from
- (select *, row_number() over (partition by item_id order by doc_id) rn, count(*) over (partition by item_id) n from p) where rn = 1
-"""
+from textwarrant.plans import matching, retrieval, sequences  # noqa: E402, F401  (they register their queries)
