@@ -126,7 +126,7 @@ def predict(text: Column, prototypes: dict[str, list[float]]) -> Column:
     learned. Of equal cosines the first language by code point wins.
     """
     langs = sorted(prototypes)
-    known = _unit(np.array([prototypes[k] for k in langs]).reshape(len(langs), -1))
+    known = _unit(np.array([prototypes[k] for k in langs]).reshape(len(langs), DIMENSIONS))
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
@@ -149,7 +149,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns of ``docs`` and held_out, lang_pred and score.
+    """The columns of ``docs`` and held_out, lang_pred and score, which replace columns of these names.
 
     Learns from the labelled documents that are not held out; a document without
     id is not learned from. Predictions look at texts alone. Repeated rows are
@@ -157,11 +157,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     prototypes = learn(rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
-    told = docs.withColumn("_told", predict(F.col(text_col), prototypes))
-    return told.select(*docs.columns, held_out(F.col(id_col)).alias("held_out"), F.col("_told.lang").alias("lang_pred"), F.col("_told.score").alias("score"))
+    told = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), predict(F.col(text_col), prototypes).alias("_told"))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
+    return told.select(*own, held_out(F.col("_id")).alias("held_out"), F.col("_told.lang").alias("lang_pred"), F.col("_told.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language could be told, with a cosine of ``least`` or more; columns as in ``docs``."""
-    found = identify(docs, id_col, text_col, lang_col)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = identify(docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")), "_id", "_text", "_lang")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -43,7 +43,7 @@ def drop_boilerplate(
     """The documents without the lines that more than ``ratio`` of their host's pages hold.
 
     Returns the columns of ``docs``, the text now cleaned, and line_count and
-    line_dropped. Lines are parted by "\\n" and compared without the spaces at
+    line_dropped, which replace columns of these names. Lines are parted by "\\n" and compared without the spaces at
     their ends; blank lines always stay. A line counts once per page. A line on
     fewer than ``min_pages`` pages stays, whatever its ratio.
 
@@ -63,7 +63,7 @@ def drop_boilerplate(
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("drop", _key(x))))
     joined = joined.select("_row", "_text", F.coalesce(F.size(lines), F.lit(0)).alias("line_count"), kept.alias("_kept"))
     text = F.when(F.size("_kept") == F.col("line_count"), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    columns = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    columns = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("line_count", "line_dropped")]
     counted = F.when(F.col("_text").isNull(), 0).otherwise(F.col("line_count"))
     dropped = F.when(F.col("_text").isNull(), 0).otherwise(F.col("line_count") - F.size("_kept"))
     return joined.select(*columns, counted.alias("line_count"), dropped.alias("line_dropped"))

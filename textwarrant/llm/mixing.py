@@ -102,7 +102,8 @@ def mix_sources(
     """Every document with the number of its copies in the mix.
 
     Returns the columns of ``docs`` and mix_size, mix_source_size, mix_target,
-    mix_copies and mix_taken (the last: size x copies).
+    mix_copies and mix_taken (the last: size x copies), which replace columns
+    of these names.
 
     A document's size is its number of words. Sources share the total size by
     ``weights`` (see ``source_targets``). A source whose target is f times its
@@ -131,15 +132,15 @@ def mix_sources(
     plan = materialize(plan, "mix-plan")
     plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
 
-    rows = docs.withColumn("_mix_size", size).join(plan, docs[source_col].eqNullSafe(F.col("_mix_source")))
-    inner = [c for c in rows.columns if c.startswith("_mix_")]
-    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *[F.col(c).alias(c[5:]) for c in inner])
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_mix_size"))
+    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_mix_source")))
+    rows = rows.select("_row", "_id", *[F.col(c).alias(c[5:]) for c in rows.columns if c.startswith("_mix_")])
     rows = _ranked(rows, "_id", seed).withColumn("bucket", _bucket())
     here = F.struct("xi", F.col("_id").alias("id"), "size")
     extra = (F.col("part") > 0) & ((F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (here <= F.col("last_taken"))))
     copies = F.col("copies") + F.coalesce(extra, F.lit(False)).cast("long")
     return rows.select(
-        "_row.*",
+        *[F.col("_row")[c].alias(c) for c in docs.columns if not c.lower().startswith("mix_")],
         F.col("size").alias("mix_size"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
@@ -149,6 +150,7 @@ def mix_sources(
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as ``mix_copies`` says."""
+    """The mix itself: each document as many times as ``mix_copies`` says, without the mix's columns."""
     own = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.withColumn("_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))).select(*own)
+    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
+    return mixed.select(F.struct(*own).alias("_row"), F.explode(copies)).select("_row.*")

@@ -231,7 +231,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_
     found = near_duplicates(docs, shingle, budget, id_col, text_col).withColumnRenamed(id_col, "_id")
     gone = materialize(found.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "simhash-gone")
     again = materialize(found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_id").alias("_again")), "simhash-repeated")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    once = kept.join(again, kept[id_col].eqNullSafe(F.col("_again")), "left_anti")
-    repeated = kept.join(again, kept[id_col].eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    once = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_anti")
+    repeated = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([id_col])
     return once.unionByName(repeated)
