@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 #: Bytes of text whose distinct words are folded together, as one row.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
+#: The words that a sample of about so many documents holds most often, at most so many, are folded once and sent to all tasks.
+SAMPLE_DOCUMENTS = 20_000
+LEXICON = 400_000
 #: Words of more bytes come to the fold with their merges done: a fold looks at every pair in every round.
 LONG_WORD = 64
 #: Above any id, and a mask for differences of cells; EMPTY belongs to no left id.
 IDS = 1 << 24
-MASK = (1 << 62) - 1
-EMPTY = (1 << 60) - 1
+MASK = (1 << 52) - 1
+EMPTY = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +49,8 @@ def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int],
     """The merge table in two flat arrays: cell[start[left] + right] = left * IDS + merged.
 
     The rows of the sparse table, longest first, lie over one another where their
-    filled cells leave gaps; a cell says whose it is.
+    filled cells leave gaps, at places drawn until one fits; a cell says whose it
+    is. The arrays have some seven cells an id, of which two are filled.
     """
     rows: dict[int, list[int]] = {}
     for left, right in table:
@@ -52,34 +58,26 @@ def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int],
     start, cell = np.zeros(ids, np.int64), np.full(7 * ids, EMPTY, np.int64)
     draw = np.random.default_rng(0)
     for left, rights in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
-        at = np.array(sorted(rights))
-        first = 0
-        while True:
-            # long rows take the first fit, short ones any of the many
-            tried = np.arange(first, first + 512) if len(at) > 64 else draw.integers(0, len(cell) - ids, 64)
-            tried = tried[tried <= len(cell) - ids]
-            if not len(tried):
-                cell = np.r_[cell, np.full(ids, EMPTY, np.int64)]
-                continue
-            free = tried[(cell[tried[:, None] + at[:64]] == EMPTY).all(axis=1)]
-            found = next((int(t) for t in free if (cell[t + at] == EMPTY).all()), None)
-            if found is not None:
-                break
-            first += 512
-        start[left] = found
-        cell[found + at] = [left * IDS + table[left, int(r)] for r in at]
-    last = int(np.flatnonzero(cell != EMPTY).max(initial=0)) + 1
-    end = max(last, int(start.max(initial=0)) + ids)
-    return start.tolist(), cell[:end].tolist()
-
-
-def fold_merges(word: Column, table: dict[tuple[int, int], int], ids_: int) -> Column:
-    """The ids (array<bigint>) of a word given as the ids of its bytes, array<bigint>; all ids are below ``ids_``.
+        at = np.array(rights)
+        place = next(p for p in iter(lambda: int(draw.integers(0, len(cell) - ids)), None) if (cell[p + at] == EMPTY).all())
+        start[left] = place
+        cell[place + at] = [left * IDS + table[left, r] for r in rights]
+    return start.tolist(), cell.tolist()
+
+
+def rank_literals(table: dict[tuple[int, int], int], ids: int) -> tuple[Column, Column]:
+    """The merge table as two literal arrays; all ids are below ``ids``."""
+    start, cells = _displaced(table, ids)
+    return F.from_json(F.lit(json.dumps(start)), "array<int>"), F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
+
+
+def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
+    """The ids (array<bigint>) of a word given as the ids of its bytes, array<bigint>.
 
     Each round merges the leftmost pair of the lowest rank; a word of n bytes
     has n - 1 rounds at most, and rounds after the last merge do nothing.
     """
-    start, cells = (F.from_json(F.lit(json.dumps(x)), f"array<{kind}>") for x, kind in zip(_displaced(table, ids_), ("int", "bigint"), strict=True))
+    start, cells = literals
 
     def rank(a: Column, b: Column) -> Column:
         """The merged id; IDS or more where the two don't merge."""
@@ -89,22 +87,16 @@ def fold_merges(word: Column, table: dict[tuple[int, int], int], ids_: int) -> C
         return F.get(F.transform(F.array(value), then), F.lit(0))
 
     def merged(ids: Column) -> Column:
-        n = F.size(ids)
-        found = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), rank)
-
-        def at_lowest(ranks: Column) -> Column:
-            return let(F.struct(ranks.alias("r"), F.array_min(ranks).alias("low")), joined)
+        # rank and place in one number, so that the least is the leftmost of the lowest rank
+        pairs = F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), 8) + i)
+        return let(F.array_min(pairs), lambda low: F.when(F.shiftright(low, 8) < IDS, joined(ids, low)).otherwise(ids))
 
-        def joined(x: Column) -> Column:
-            at = F.array_position(x["r"], x["low"]).cast("int")
-            done = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(x["low"]), F.slice(ids, at + 2, n))
-            return F.when(x["low"] >= IDS, F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(done.alias("ids"), (n > 2).alias("more")))
+    def joined(ids: Column, low: Column) -> Column:
+        at = low.bitwiseAND(F.lit(255)).cast("int")
+        return F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(low, 8)), F.slice(ids, at + 3, F.size(ids)))
 
-        return let(found, at_lowest)
-
-    begin = F.struct(word.alias("ids"), (F.size(word) > 1).alias("more"))
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, begin, lambda s, _: F.when(s["more"], merged(s["ids"])).otherwise(s), lambda s: s["ids"])
+    return F.aggregate(rounds, word, lambda ids, _: F.when(F.size(ids) > 1, merged(ids)).otherwise(ids))
 
 
 def heap_merges(ids: list[int], table: dict[tuple[int, int], int]) -> list[int]:
@@ -127,6 +119,42 @@ def heap_merges(ids: list[int], table: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _word_rows(texts: DataFrame, pattern: str) -> DataFrame:
+    """(word, n): distinct words of each batch of texts with their counts; long words are left out."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            held: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                held.update(find(text or ""))
+            held = {w: n for w, n in held.items() if len(w.encode("utf-8", "surrogatepass")) <= LONG_WORD}
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    return texts.mapInArrow(counted, "word string, n long")
+
+
+def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_col: str, id_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Frequent words, the ids of all of them one after the other, and where each one's begin.
+
+    From about SAMPLE_DOCUMENTS documents, by a hash of their ids; LEXICON words
+    at most. What it leaves out is folded where it is met, so the sample decides
+    about time and not about results.
+    """
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 20))
+    words = _word_rows(docs.filter(place < share * (1 << 20)).select(text_col), pattern).groupBy("word").agg(F.sum("n").alias("n"))
+    words = words.filter("n > 1").orderBy(F.desc("n"), "word").limit(LEXICON).select("word")
+    of_byte = F.array(*[F.lit(int(i)).cast("long") for i in byte_ids])
+    raw = F.hex(F.col("word").cast("binary"))
+    unit = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(of_byte, F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+    found = words.repartition(32).select("word", fold(unit).alias("ids")).toArrow().combine_chunks()
+    ids = found.column("ids").combine_chunks()
+    return found.column("word").to_pylist(), ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Each row's ``keep`` columns, its tokens (array<int>) and the same packed (binary, little-endian 32-bit).
 
@@ -134,8 +162,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     bytes, without special tokens. Tasks gather the distinct words of blocks of
     texts, of BLOCK_BYTES at most unless one text has more; Spark's higher-order
     functions fold the merges over the bytes of each word, by a literal map of
-    ranks; tasks put the texts' ids together. Nothing is shuffled and nothing is
-    kept between blocks.
+    ranks; tasks put the texts' ids together. Words that ``lexicon`` holds have
+    been folded before. No text is shuffled.
 
     A null or empty text has no tokens. Rows of any kind stay, repeated ones too.
     """
@@ -147,6 +175,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     words_type = ArrayType(ArrayType(LongType()))
     block_type = StructType([StructField("rows", ArrayType(kept)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType())), StructField("words", words_type)])
     packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    literals = rank_literals(table, max(ranks.values()) + 1)
+    fold = lambda w: fold_merges(w, literals)
+    common = docs.sparkSession.sparkContext.broadcast(lexicon(docs, pattern, fold, byte_ids, text_col, keep[0]))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -154,8 +185,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         find = regex.compile(pattern).findall
         lookup = np.array(byte_ids, np.int64)
 
+        base = _Places(zip(common.value[0], range(len(common.value[0])), strict=True))
+
         def block(rows: list[pa.Array], counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
-            raw = [w.encode("utf-8", "surrogatepass") for w in seen]
+            raw = [w.encode("utf-8", "surrogatepass") for w in islice(seen, len(base), None)]
             units = {i: [ranks[r]] if r in whole else heap_merges(lookup[np.frombuffer(r, np.uint8)].tolist(), table) for i, r in enumerate(raw) if len(r) > LONG_WORD or r in whole}
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
             flat = lookup[np.frombuffer(b"".join(raw), np.uint8)]
@@ -170,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
             return pa.RecordBatch.from_arrays(lists, names=["rows", "counts", "places", "words"])
 
-        rows, counts, places, seen, size = [], [], [], _Places(), 0
+        rows, counts, places, seen, size = [], [], [], _Places(base), 0
         for batch in batches:
             row, text = batch.column(0), batch.column(1)
             taken = 0
@@ -181,7 +214,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
                 size += len(value or "")
                 if size >= BLOCK_BYTES:
                     yield block([*rows, row.slice(taken, i + 1 - taken)], counts, places, seen)
-                    rows, counts, places, seen, size, taken = [], [], [], _Places(), 0, i + 1
+                    rows, counts, places, seen, size, taken = [], [], [], _Places(base), 0, i + 1
             if taken < len(row):
                 rows.append(row.slice(taken))
         if counts:
@@ -191,7 +224,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         for batch in batches:
             for i in range(batch.num_rows):
                 row, counts, places, words = (batch.column(c)[i].values for c in range(4))
-                ids, bounds = words.flatten().to_numpy(), np.r_[0, np.cumsum(words.value_lengths().to_numpy())]
+                _, ids, bounds = common.value
+                ids = np.concatenate([ids, words.flatten().to_numpy()])
+                bounds = np.r_[bounds, bounds[-1] + np.cumsum(words.value_lengths().to_numpy())]
                 counts, places, at = counts.to_numpy(), places.to_numpy(), 0
                 for first in range(0, len(counts), 256):
                     units = []
@@ -203,7 +238,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
                     yield pa.RecordBatch.from_arrays([row.slice(first, 256), tokens, binary], names=["row", "tokens", "packed"])
 
     held = packed.mapInArrow(blocks, block_type)
-    held = held.withColumn("words", F.transform("words", lambda w: fold_merges(w, table, max(ranks.values()) + 1)))
+    held = held.withColumn("words", F.transform("words", fold))
     out = StructType([StructField("row", kept), StructField("tokens", ArrayType(IntegerType())), StructField("packed", BinaryType())])
     return held.mapInArrow(texts, out).select("row.*", "tokens", "packed")
 
