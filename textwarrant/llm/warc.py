@@ -18,14 +18,16 @@ RECORDS_PER_FILE = 4000
 
 def sha1_base32(payload: Column) -> Column:
     """The bare upper-case base32 SHA-1 of a binary column."""
-    digest = F.sha1(payload)
 
-    def letter(i: Column) -> Column:
-        first = F.floor(i * 5 / 4).cast("int")
-        pair = F.conv(F.substr(digest, first + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substr(F.lit(BASE32), F.call_function("shiftright", pair, 3 - i * 5 % 4).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    def letters(digest: Column) -> Column:
+        def letter(i: Column) -> Column:
+            pair = F.conv(F.substr(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
+            return F.substr(F.lit(BASE32), F.call_function("shiftright", pair, 3 - i * 5 % 4).bitwiseAND(F.lit(31)) + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+
+    # as an array's element the digest is made once, not for every letter
+    return F.get(F.transform(F.array(F.sha1(payload)), letters), F.lit(0))
 
 
 def _line(name: str, value: Column) -> Column:
