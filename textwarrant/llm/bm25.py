@@ -18,8 +18,14 @@ B = 0.75
 TERM = re.compile(r"[^\W_]+")
 #: Documents and characters of a shard at most (one text may have more), and documents of a block.
 SHARD_DOCUMENTS = 8192
-SHARD_CHARACTERS = 16_000_000
+SHARD_CHARACTERS = 32_000_000
 BLOCK = 64
+#: A term in a sixteenth of a shard's documents, and in so many, is a column of the shard's matrix.
+FREQUENT = 16
+LEAST_FREQUENT = 64
+#: Queries that one shard is held against at a time, and how many times more shards each round has.
+QUERIES_AT_ONCE = 256
+ROUNDS = 8
 #: (query, term) pairs that are sent to all tasks at a time.
 QUERY_PAIRS = 1_000_000
 #: Digits that scores are compared and returned with: sums of other orders agree to them.
@@ -43,11 +49,16 @@ def _terms(text: str | None, vocabulary: _Vocabulary) -> np.ndarray:
 
 
 def _shard(ids: list[int], texts: list[np.ndarray]) -> list[np.ndarray]:
-    """A shard's index: postings by term, then by document; documents by id."""
-    order = np.argsort(np.array(ids), kind="stable")
-    ids_, texts = np.array(ids, np.int64)[order], [texts[i] for i in order]
-    lengths = np.array([len(t) for t in texts], np.int64)
+    """A shard's index: postings by term, then by document.
+
+    Documents stand by their most frequent term and then their length, so that
+    those of a block are of a kind and its bounds are tight.
+    """
     pairs = [np.unique(t, return_counts=True) for t in texts]
+    first = np.array([p[0][p[1].argmax()] if len(p[0]) else 0 for p in pairs], np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    order = np.lexsort((np.array(ids), lengths, first))
+    ids_, lengths, pairs, texts = np.array(ids, np.int64)[order], lengths[order], [pairs[i] for i in order], [texts[i] for i in order]
     place = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p[0]) for p in pairs])
     term, count = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]).astype(np.int32)
     order = np.argsort(term, kind="stable")
@@ -91,54 +102,57 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Searcher:
-    """A shard with its block maxima."""
+    """A shard with its frequent terms as a matrix, and the block maxima of that."""
 
     def __init__(self, ids, lengths, terms, starts, places, counts, mean: float) -> None:
-        self.ids, self.terms, self.starts, self.places = ids, terms, starts, places
+        self.ids, self.terms, self.starts, self.places, self.n = ids, terms, starts, places, len(ids)
         self.part = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[places] / mean))
-        self.blocks = -(-len(ids) // BLOCK)
-        block, first = places // BLOCK, np.zeros(len(places), bool)
-        first[starts[:-1]] = True
-        first[1:] |= block[1:] != block[:-1]
-        # an entry is the postings of one term in one block
-        self.entry = np.r_[np.flatnonzero(first), len(places)]
-        self.entry_block = block[self.entry[:-1]]
-        self.entry_most = np.maximum.reduceat(self.part, self.entry[:-1]) if len(places) else np.zeros(0)
-        self.term_entry = np.searchsorted(self.entry, starts)
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents, ties to smaller ids.
-
-        Blocks are scored in the order of their upper bounds, some at a time,
-        until the next bound is below the k-th score so far. A bound adds up in
-        the order of the score that it bounds, each part no less, so it is no
-        less in floating point as well.
+        df = np.diff(starts)
+        frequent = (df * FREQUENT >= self.n) & (df >= LEAST_FREQUENT)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        of_posting = np.repeat(self.column, df)
+        self.dense = np.zeros((self.n, int(frequent.sum())))
+        self.dense[places[of_posting >= 0], of_posting[of_posting >= 0]] = self.part[of_posting >= 0]
+        self.blocks = np.arange(0, self.n, BLOCK)
+        self.most = np.maximum.reduceat(self.dense, self.blocks, axis=0)
+
+    def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best documents of each query (numbered from 0) with a score of ``least`` or more.
+
+        Rare terms are few postings and are scored at once. With the block maxima
+        of the frequent ones they bound what a block can have for each query; a
+        block is scored for the queries whose k-th score so far it can reach, the
+        most promising blocks first.
         """
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        found = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        at, idf = at[found], idf[found]
-        sizes = self.term_entry[at + 1] - self.term_entry[at]
-        entries, weight = _ranges(self.term_entry[at], sizes), np.repeat(idf, sizes)
-        block = self.entry_block[entries]
-        bound = np.bincount(block, self.entry_most[entries] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        score, least, step, done = np.zeros(len(self.ids)), 0.0, 2, 0
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least - 10.0**-DIGITS:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
-            use = np.flatnonzero(chosen[block])
-            first = self.entry[entries[use]]
-            size = self.entry[entries[use] + 1] - first
-            posting = _ranges(first, size)
-            score += np.bincount(self.places[posting], self.part[posting] * np.repeat(weight[use], size), len(self.ids))
-            done, step = done + step, step * 2
-            if len(score) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
+        many = len(least)
+        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
+        found = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+        query, at, weight = query[found], at[found], weight[found]
+        common = self.column[at] >= 0
+        wanted = np.zeros((self.dense.shape[1], many))
+        wanted[self.column[at[common]], query[common]] = weight[common]
+        start, size = self.starts[at[~common]], self.starts[at[~common] + 1] - self.starts[at[~common]]
+        posting = _ranges(start, size)
+        cell = self.places[posting].astype(np.int64) * many + np.repeat(query[~common], size)
+        rare = np.bincount(cell, self.part[posting] * np.repeat(weight[~common], size), self.n * many).reshape(self.n, many)
+        bound = self.most @ wanted + np.maximum.reduceat(rare, self.blocks, axis=0)
+        score, top, least = np.zeros((self.n, many)), np.zeros((many, k)), np.maximum(least, 10.0**-DIGITS)
+        for b in np.argsort(-bound.sum(axis=1), kind="stable"):
+            use = np.flatnonzero(bound[b] >= least - 2 * 10.0**-DIGITS)
+            if len(use):
+                rows = slice(b * BLOCK, (b + 1) * BLOCK)
+                new = self.dense[rows] @ wanted[:, use] + rare[rows][:, use]
+                score[rows, use] = new
+                top[use] = np.partition(np.concatenate([top[use], new.T], axis=1), -k, axis=1)[:, -k:]
+                least[use] = np.maximum(least[use], top[use].min(axis=1))
         score = np.round(score, DIGITS)
-        top = np.argsort(-score, kind="stable")[:k]
-        top = top[score[top] > 0]
-        return self.ids[top], score[top]
+        place, asked = np.nonzero(score >= np.round(least, DIGITS))
+        value = score[place, asked]
+        order = np.lexsort((self.ids[place], -value, asked))
+        asked, place, value = asked[order], place[order], value[order]
+        first = np.r_[True, asked[1:] != asked[:-1]] if len(asked) else np.zeros(0, bool)
+        rank = np.arange(len(asked)) - np.maximum.accumulate(np.where(first, np.arange(len(asked)), 0))
+        return asked[rank < k], self.ids[place[rank < k]], value[rank < k]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +164,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     the exact k best of all. Ties go to smaller ids.
 
     Queries are taken in blocks of QUERY_PAIRS terms, by a hash of their ids; one
-    block at a time is sent to the tasks, which hold it against every shard.
+    block at a time is sent to the tasks, which hold it against every shard. That
+    goes in rounds over ROUNDS times more shards each: a query's k-th score so far
+    is sent along, and shards return only what reaches it. So the rows to merge
+    grow with the logarithm of the number of shards.
 
     Null and empty texts, and those without letters or digits, find and are found
     by nothing; rows without id take no part. A row repeated is ranked again. Of
@@ -181,28 +198,46 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     pairs = materialize(pairs.join(df, "term").select("query_id", "term", idf.alias("idf")), "bm25-queries")
     blocks = max(1, math.ceil(pairs.count() / QUERY_PAIRS))
 
-    def against(block: int) -> DataFrame:
-        rows = pairs.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        query, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "idf"))
-        order = np.lexsort((term, query))
-        sent = spark.sparkContext.broadcast((query[order], term[order], weight[order]))
-
-        def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query, term, weight = sent.value
-            asked, first = np.unique(query, return_index=True)
-            first = np.r_[first, len(query)]
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = _Searcher(*(c[i].values.to_numpy() for c in batch.columns), mean)
-                    hits = [shard.best(term[a:b], weight[a:b], k) for a, b in zip(first, first[1:], strict=False)]
-                    ids = np.repeat(asked, [len(h[0]) for h in hits])
-                    columns = [ids, *(np.concatenate([np.zeros(0, t), *(h[j] for h in hits)]) for j, t in ((0, np.int64), (1, np.float64)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
-
-        return index.mapInArrow(searched, "query_id long, doc_id long, score double")
-
-    found = against(0)
-    for block in range(1, blocks):
-        found = found.unionByName(against(block))
+    rounds = max(1, math.ceil(math.log(max(1, index.count()), ROUNDS)))
+    turn = F.pmod(F.xxhash64(F.get("ids", F.lit(0)), F.size("ids")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    merged = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    done: DataFrame | None = None
+    for block in range(blocks):
+        own = pairs.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        query, term, weight = (own.column(c).to_numpy() for c in ("query_id", "term", "idf"))
+        by_query = np.lexsort((term, query))
+        query, term, weight = query[by_query], term[by_query], weight[by_query]
+        best: DataFrame | None = None
+        for r in range(rounds):
+            least = {}
+            if best is not None:
+                least = {x["query_id"]: x["score"] for x in best.filter(F.col("rank") == k).select("query_id", "score").collect()}
+            low, high = 0.0 if r == 0 else ROUNDS ** (r - rounds), ROUNDS ** (r + 1 - rounds)
+            shards = index.filter((turn >= low) & (turn < high))
+            found = shards.mapInArrow(_against(spark, query, term, weight, least, k, mean), "query_id long, doc_id long, score double")
+            rows = found if best is None else found.unionByName(best.drop("rank"))
+            best = materialize(merged(rows), "bm25-best")
+        done = best if done is None else done.unionByName(best)
+    return done.select("query_id", "rank", "doc_id", "score")
+
+
+def _against(spark, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: dict[int, float], k: int, mean: float):
+    """A function for tasks that holds a block of queries against their shards."""
+    asked, first = np.unique(query, return_index=True)
+    first = np.r_[first, len(query)]
+    sent = spark.sparkContext.broadcast((asked, first, term, weight, np.array([least.get(int(q), 0.0) for q in asked])))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, first, term, weight, least = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = _Searcher(*(c[i].values.to_numpy() for c in batch.columns), mean)
+                for at in range(0, len(asked), QUERIES_AT_ONCE):
+                    to = min(at + QUERIES_AT_ONCE, len(asked))
+                    own = slice(first[at], first[to])
+                    number = np.repeat(np.arange(to - at), np.diff(first[at : to + 1]))
+                    q, ids, score = shard.best(number, term[own], weight[own], least[at:to], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[at:to][q]), pa.array(ids), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return searched
