@@ -18,8 +18,9 @@ SEED = 7
 UNKNOWN = "und"
 #: Labelled rows of a language that its prototype is learned from, about.
 SAMPLE_PER_LANGUAGE = 4000
-#: Texts whose n-grams are bound and bundled together, and n-grams of one text at a time.
+#: Texts whose n-grams are bundled together, n-grams that are bound at a time, and n-grams of one text at a time.
 TEXTS_AT_ONCE = 256
+GRAMS_AT_ONCE = 4096
 CHUNK = 1 << 20
 
 
@@ -74,11 +75,11 @@ class Encoder:
         known, where = np.unique(np.concatenate(grams), return_inverse=True)
         row = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for at in range(0, len(known), 16384):
-            part = (where >= at) & (where < at + 16384)
-            table = np.zeros((len(texts), min(16384, len(known) - at)), np.float32)
+        for at in range(0, len(known), GRAMS_AT_ONCE):
+            part = (where >= at) & (where < at + GRAMS_AT_ONCE)
+            table = np.zeros((len(texts), min(GRAMS_AT_ONCE, len(known) - at)), np.float32)
             table[row[part], where[part] - at] = np.concatenate(counts)[part]
-            out += table @ self.vectors(known[at : at + 16384]).astype(np.float32)
+            out += table @ self.vectors(known[at : at + GRAMS_AT_ONCE]).astype(np.float32)
         return out
 
 
