@@ -7,7 +7,9 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +67,9 @@ def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int],
     return start.tolist(), cell.tolist()
 
 
-def rank_literals(table: dict[tuple[int, int], int], ids: int) -> tuple[Column, Column]:
-    """The merge table as two literal arrays; all ids are below ``ids``."""
-    start, cells = _displaced(table, ids)
-    return F.from_json(F.lit(json.dumps(start)), "array<int>"), F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
+def rank_literals(model: Model) -> tuple[Column, Column]:
+    """The merge table as two literal arrays."""
+    return F.from_json(F.lit(model.start), "array<int>"), F.from_json(F.lit(model.cells), "array<bigint>")
 
 
 def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
@@ -136,8 +137,28 @@ def _word_rows(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.mapInArrow(counted, "word string, n long")
 
 
-def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_col: str, id_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Frequent words, the ids of all of them one after the other, and where each one's begin.
+class Model(NamedTuple):
+    """What a rank file says: its merges, the tokens taken whole, the ids of the bytes, and the merge table as JSON."""
+
+    table: dict[tuple[int, int], int]
+    whole: dict[bytes, int]
+    byte_ids: list[int]
+    start: str
+    cells: str
+
+
+@lru_cache(maxsize=2)
+def read_model(path: str) -> Model:
+    """Made once in a process for each path."""
+    ranks = read_ranks(path)
+    table = merge_table(ranks)
+    start, cells = _displaced(table, max(ranks.values()) + 1)
+    whole = {t: ranks[t] for t in _unmerged(ranks, table)}
+    return Model(table, whole, [ranks[bytes([b])] for b in range(256)], json.dumps(start), json.dumps(cells))
+
+
+def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_col: str, id_col: str) -> pa.RecordBatch:
+    """Frequent words (word) and the ids that each is made of (ids).
 
     From about SAMPLE_DOCUMENTS documents, by a hash of their ids; LEXICON words
     at most. What it leaves out is folded where it is met, so the sample decides
@@ -150,9 +171,9 @@ def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_c
     of_byte = F.array(*[F.lit(int(i)).cast("long") for i in byte_ids])
     raw = F.hex(F.col("word").cast("binary"))
     unit = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(of_byte, F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-    found = words.repartition(32).select("word", fold(unit).alias("ids")).toArrow().combine_chunks()
-    ids = found.column("ids").combine_chunks()
-    return found.column("word").to_pylist(), ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+    found = words.repartition(32).select("word", fold(unit).cast("array<int>").alias("ids")).toArrow().combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
+    return pa.RecordBatch.from_arrays(columns, names=found.column_names)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -167,15 +188,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
 
     A null or empty text has no tokens. Rows of any kind stay, repeated ones too.
     """
-    ranks = read_ranks(ranks_path)
-    table = merge_table(ranks)
-    whole = _unmerged(ranks, table)
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    model = read_model(ranks_path)
+    table, whole, byte_ids = model.table, model.whole, model.byte_ids
     kept = StructType([docs.schema[c] for c in keep])
     words_type = ArrayType(ArrayType(LongType()))
     block_type = StructType([StructField("rows", ArrayType(kept)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType())), StructField("words", words_type)])
     packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
-    literals = rank_literals(table, max(ranks.values()) + 1)
+    literals = rank_literals(model)
     fold = lambda w: fold_merges(w, literals)
     common = docs.sparkSession.sparkContext.broadcast(lexicon(docs, pattern, fold, byte_ids, text_col, keep[0]))
 
@@ -185,11 +204,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         find = regex.compile(pattern).findall
         lookup = np.array(byte_ids, np.int64)
 
-        base = _Places(zip(common.value[0], range(len(common.value[0])), strict=True))
+        base = _Places(zip(common.value.column(0).to_pylist(), range(common.value.num_rows), strict=True))
 
         def block(rows: list[pa.Array], counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
             raw = [w.encode("utf-8", "surrogatepass") for w in islice(seen, len(base), None)]
-            units = {i: [ranks[r]] if r in whole else heap_merges(lookup[np.frombuffer(r, np.uint8)].tolist(), table) for i, r in enumerate(raw) if len(r) > LONG_WORD or r in whole}
+            units = {i: [whole[r]] if r in whole else heap_merges(lookup[np.frombuffer(r, np.uint8)].tolist(), table) for i, r in enumerate(raw) if len(r) > LONG_WORD or r in whole}
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
             flat = lookup[np.frombuffer(b"".join(raw), np.uint8)]
             if units:
@@ -224,9 +243,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         for batch in batches:
             for i in range(batch.num_rows):
                 row, counts, places, words = (batch.column(c)[i].values for c in range(4))
-                _, ids, bounds = common.value
-                ids = np.concatenate([ids, words.flatten().to_numpy()])
-                bounds = np.r_[bounds, bounds[-1] + np.cumsum(words.value_lengths().to_numpy())]
+                common_ids = common.value.column(1)
+                ids = np.concatenate([common_ids.flatten().to_numpy(), words.flatten().to_numpy().astype(np.int32)])
+                bounds = np.r_[0, np.cumsum(np.concatenate([common_ids.value_lengths().to_numpy(), words.value_lengths().to_numpy()]), dtype=np.int64)]
                 counts, places, at = counts.to_numpy(), places.to_numpy(), 0
                 for first in range(0, len(counts), 256):
                     units = []
