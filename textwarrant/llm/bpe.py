@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 #: Bytes of text whose distinct words are folded together, as one row.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: The words that a sample of about so many documents holds most often, at most so many, are folded once and sent to all tasks.
 SAMPLE_DOCUMENTS = 20_000
 LEXICON = 400_000
@@ -129,8 +129,8 @@ def _word_rows(texts: DataFrame, pattern: str) -> DataFrame:
         find = regex.compile(pattern).findall
         for batch in batches:
             held: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                held.update(find(text or ""))
+            for text in batch.column(0):
+                held.update(find(text.as_py() or ""))
             held = {w: n for w, n in held.items() if len(w.encode("utf-8", "surrogatepass")) <= LONG_WORD}
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         for batch in batches:
             row, text = batch.column(0), batch.column(1)
             taken = 0
-            for i, value in enumerate(text.to_pylist()):
+            for i, value in enumerate(x.as_py() for x in text):
                 words = find(value or "")
                 places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 counts.append(len(words))
