@@ -268,6 +268,56 @@ def test_simhash(spark, odd, empty, monkeypatch, block):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block, run", [(4096, 48), (8, 4)])
+def test_similar_documents(spark, odd, empty, monkeypatch, block, run):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SMALL_RUN", run)
+    draw = np.random.default_rng(5)
+    rows = [r for r in odd_rows() if r[1] is None or len(r[1]) < 100_000]
+    for group in range(12):
+        base = prose(500 + group, 20 + 25 * group).split()
+        for copy in range(8):
+            words = list(base)
+            for at in draw.choice(len(words), draw.integers(0, 2 + len(words) // 20), replace=False):
+                words[at] = f"edit{copy}"
+            rows.append((2000 + 10 * group + copy, " ".join(words[draw.integers(0, 2) :]), "en", "s"))
+    rows += [(3000 + i, " ".join([*WORDS, f"tail{i}"]), "en", "s") for i in range(40)]
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+                far += (brute_simhash(rows[i][1]) ^ brute_simhash(rows[j][1])).bit_count() > 4
+    assert far > 20
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+        else:
+            least.setdefault(find(i), 10**9)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert simhash.drop_similar(empty).count() == 0
+
+
+def test_similar_documents_go_by_text_not_by_id(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (5, b, "en", "s"), (None, a, "en", "s"), (None, c, "en", "s"), (None, prose(4, 60), "en", "s")]
+    kept = simhash.drop_similar(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("2", b), ("None", c), ("None", prose(4, 60))])
+
+
 def test_every_difference_within_the_budget_shares_a_key():
     keys = np.array(simhash.ring_keys(4), dtype=np.uint64)
     assert len(keys) == 35

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -223,6 +224,283 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _held(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _id, _digest, _text) of each row; a null text is the empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("_digest"), text.alias("_text"))
+
+
+def _least(*by: str) -> list[Column]:
+    """The first row of a group: the smallest id, no id after all others, then the digest."""
+    return [F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *by)).alias("first")]
+
+
+def _once(held: DataFrame, chosen: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose id and digest are ``chosen``; of rows that repeat both, one."""
+    chosen = chosen.select(F.col("_id").alias("_i"), F.col("_digest").alias("_d"))
+    again = again.select(F.col("_id").alias("_i"), F.col("_digest").alias("_d"))
+    def on(a: DataFrame, b: DataFrame) -> Column:
+        return a["_id"].eqNullSafe(b["_i"]) & (a["_digest"] == b["_d"])
+
+    kept = held.join(chosen, on(held, chosen), "left_semi")
+    single = kept.join(again, on(kept, again), "left_anti")
+    return single.unionByName(kept.join(again, on(kept, again), "left_semi").dropDuplicates(["_id", "_digest"]))
+
+
+def _repeated(prints: DataFrame) -> DataFrame:
+    found = prints.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return materialize(found.select("_id", "_digest"), "simhash-repeated")
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: str = "0.8") -> DataFrame:
+    """Links (a, b) among ``texts`` (tid, text; tid unique) that join all pairs of Jaccard ``similarity`` or more.
+
+    Exact: texts compare by their sets of word shingles, as 64-bit hashes. In one
+    order of all shingles, two sets that are so similar share one of the first
+    n - ceil(similarity * n) + 1 of each, so these meet in an equi-join; lengths
+    and places in the order rule out most of the pairs that meet, and the sets
+    decide. Shingles that a sample calls common come last in the order, which
+    changes the work and never the result.
+
+    Where more than SMALL_RUN sets meet, each is held first against one of its
+    length; only those that this doesn't join are then held against one another,
+    so a group of many copies makes as many pairs as it has members. Texts
+    without words are alike.
+    """
+    common = _common_shingles(texts, shingle)
+    keyed = texts.select("tid", "text").mapInArrow(_prefixes(shingle, similarity, common), "key long, pair long, n long, place long, tid long")
+    dealt = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair", "n", "tid")
+    met = materialize(dealt.mapInArrow(_meetings(similarity), "large boolean, key long, pair long, n long, place long, a long, b long"), "similar-met")
+    links = _verified(met.filter("not large").select("a", "b").distinct(), texts, shingle, similarity)
+    large = met.filter("large").select("key", "pair", "n", "place", F.col("a").alias("tid"))
+    if large.isEmpty():
+        return links
+    roots = materialize(connected_components(links), "similar-roots")
+    large = large.join(roots, F.col("tid") == F.col("node"), "left").withColumn("part", F.coalesce("root", "tid")).drop("node", "root")
+    dealt = large.repartition("key", "pair").sortWithinPartitions("key", "pair", "n", "tid")
+    rest = dealt.select("key", "pair", "n", "place", "tid", "part").mapInArrow(_partings(similarity), "a long, b long").distinct()
+    return links.unionByName(_verified(rest, texts, shingle, similarity))
+
+
+#: Texts whose shingles are counted to order them, in how many a common one is, and how many are kept.
+ORDER_SAMPLE = 8000
+COMMON_FROM = 4
+COMMON_KEPT = 50_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
+
+
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; all of a text of fewer words is one."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    out = np.full(len(words) - k + 1 if words else 0, k, np.uint64)
+    for i in range(k):
+        out = (out ^ h[i : i + len(out)]) * _ODD
+        out ^= out >> _SHIFT
+    return np.unique(out)
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and in about how many texts each is, by a sample of them."""
+    total = texts.count()
+    share = min(1.0, ORDER_SAMPLE / max(1, total))
+    sample = texts.filter(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], names=["key"])
+
+    counts = sample.mapInArrow(listed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
+    rows = counts.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["n"] / share for r in rows], np.float64)[order]
+
+
+def _prefixes(shingle: int, similarity: str, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    num, den = Fraction(similarity).as_integer_ratio()
+    keys, holders = common
+    # a key that is in more texts than BLOCK is dealt into blocks, each two of which meet
+    blocks_of = dict(zip(keys[holders > BLOCK].tolist(), np.ceil(holders[holders > BLOCK] / BLOCK).astype(int).tolist(), strict=True))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = _shingle_set(text.as_py(), shingle)
+                n = len(found)
+                last = np.isin(found, keys, assume_unique=True)
+                first = np.concatenate([found[~last], found[last]])[: n + num * n // -den + 1]
+                first = first if n else np.zeros(1, np.uint64)
+                place, pair = np.arange(len(first)), np.zeros(len(first), np.int64)
+                if blocks_of and any(many := [blocks_of.get(k, 0) for k in first.tolist()]):
+                    dealt = [(i, min(own, x) * b + max(own, x)) for i, b in enumerate(many) for own in [tid % b if b else 0] for x in range(max(1, b))]
+                    place, pair = np.array(dealt, np.int64).T
+                held.append(np.stack([first.view(np.int64)[place], pair, np.full(len(place), n), place, np.full(len(place), tid)]))
+                size += len(place)
+                if size > CHUNK:
+                    yield _columns(np.concatenate(held, axis=1), ("key", "pair", "n", "place", "tid"))
+                    held, size = [], 0
+            if held:
+                yield _columns(np.concatenate(held, axis=1), ("key", "pair", "n", "place", "tid"))
+
+    return rows
+
+
+def _columns(rows: np.ndarray, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=list(names))
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of the batches as rows of whole numbers, cut where key and pair, the first two, change."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        change = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+        if held and (held[0][:2, -1] != rows[:2, 0]).any():
+            yield np.concatenate(held, axis=1)
+            held = []
+        if len(change):
+            yield np.concatenate([*held, rows[:, : change[-1] + 1]], axis=1)
+            held = []
+            rows = rows[:, change[-1] + 1 :]
+        held.append(rows)
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def _possible(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether rows i and j of a run, with as many shingles and the key at these places, can be similar."""
+    a, b, p, q = n[i], n[j], place[i], place[j]
+    most = np.minimum(p, q) + 1 + np.minimum(a - p, b - q) - 1
+    return ((a == 0) & (b == 0)) | ((den * np.minimum(a, b) >= num * np.maximum(a, b)) & (most * (num + den) >= num * (a + b)))
+
+
+def _distinct_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    return pairs[pairs["a"] != pairs["b"]]
+
+
+def _meetings(similarity: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of small runs; of large runs pairs with the first of about the same length, and all members."""
+    num, den = Fraction(similarity).as_integer_ratio()
+    names = ("key", "pair", "n", "place", "a", "b")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            edge = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0), True])
+            sizes = np.diff(edge)
+            keep = np.repeat(sizes > 1, sizes)
+            rows, sizes = rows[:, keep], sizes[sizes > 1]
+            edge = np.r_[0, np.cumsum(sizes)]
+            _, _, n, place, tid = rows
+            size_at = np.repeat(sizes, sizes)
+            left = np.repeat(edge[1:], sizes) - np.arange(len(n))
+            found = []
+            for d in range(1, min(SMALL_RUN, int(sizes.max(initial=0)))):
+                i = np.flatnonzero((size_at <= SMALL_RUN) & (left > d))
+                i = i[_possible(n, place, i, i + d, num, den)]
+                found.append((tid[i], tid[i + d]))
+            for r in np.flatnonzero(sizes > SMALL_RUN):
+                at, end = edge[r], edge[r + 1]
+                while at < end:
+                    stop = at + np.searchsorted(n[at:end], n[at] * den // num, "right")
+                    j = np.arange(at + 1, stop)
+                    j = j[_possible(n, place, np.full(len(j), at), j, num, den)]
+                    found.append((np.full(len(j), tid[at]), tid[j]))
+                    at = stop
+            pairs = _distinct_pairs(found)
+            zero = np.zeros(len(pairs), np.int64)
+            large = np.concatenate([rows, rows[4:]])[:, size_at > SMALL_RUN]
+            for part, kind in ((np.stack([zero, zero, zero, zero, pairs["a"], pairs["b"]]), False), (large, True)):
+                if part.shape[1]:
+                    batch = _columns(part, names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.shape[1], kind)), *batch.columns], names=["large", *names])
+
+    return met
+
+
+def _partings(similarity: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a run whose parts differ."""
+    num, den = Fraction(similarity).as_integer_ratio()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            edge = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0), True])
+            found, size = [], 0
+            for at, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                _, _, n, place, tid, part = rows[:, at:end]
+                if (part == part[0]).all():
+                    continue
+                for d in range(1, end - at):
+                    i = np.arange(end - at - d)
+                    if not (near := den * n[i] >= num * n[i + d]).any():
+                        break
+                    i = i[near & (part[i] != part[i + d])]
+                    i = i[_possible(n, place, i, i + d, num, den)]
+                    found.append((tid[i], tid[i + d]))
+                    size += len(i)
+                    if size > CHUNK:
+                        yield pa.RecordBatch.from_pandas(_distinct_pairs(found), preserve_index=False)
+                        found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_pandas(_distinct_pairs(found), preserve_index=False)
+
+    return pairs
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have Jaccard ``similarity`` or more."""
+    num, den = Fraction(similarity).as_integer_ratio()
+    pairs = materialize(pairs, "similar-candidates")
+    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            found = []
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, own = a, _shingle_set(ta.as_py(), shingle)
+                other = _shingle_set(tb.as_py(), shingle)
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if shared * (num + den) >= num * (len(own) + len(other)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    return materialize(joined.mapInArrow(similar, "a long, b long"), "similar-links")
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: that with the smallest id, a null id after all others.
+
+    Texts link at Jaccard ``similarity`` or more of their sets of word shingles, by
+    :func:`similar_texts`; groups are the components of these links. The columns
+    are those of ``docs``. An id may repeat or be null: rows go by text, not by id.
+    """
+    held = _held(docs, id_col, text_col)
+    prints = materialize(held.select("_id", "_digest"), "similar-prints")
+    again = _repeated(prints)
+    least = materialize(prints.groupBy("_digest").agg(*_least()).select("first._id", "_digest"), "similar-distinct")
+    texts = _once(held, least, again).select(F.monotonically_increasing_id().alias("tid"), "_id", "_digest", F.col("_text").alias("text"))
+    texts = materialize(texts, "similar-texts")
+    roots = materialize(connected_components(similar_texts(texts, shingle, similarity)), "similar-parts")
+    parts = texts.select("tid", "_id", "_digest").join(roots, F.col("tid") == F.col("node"), "left").withColumn("part", F.coalesce("root", "tid"))
+    chosen = materialize(parts.groupBy("part").agg(*_least("_digest")).select("first._id", "first._digest"), "similar-chosen")
+    return _once(held, chosen, again).select("_row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: that with the smallest id; rows repeated with that id count once.
 
