@@ -311,10 +311,11 @@ def test_similar_documents(spark, odd, empty, monkeypatch, block, run):
     assert simhash.drop_similar(empty).count() == 0
 
 
-def test_similar_documents_go_by_text_not_by_id(spark):
+@pytest.mark.parametrize("drop", [simhash.drop_similar, simhash.drop_near_duplicates])
+def test_documents_go_by_text_not_by_id(spark, drop):
     a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
     rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (5, b, "en", "s"), (None, a, "en", "s"), (None, c, "en", "s"), (None, prose(4, 60), "en", "s")]
-    kept = simhash.drop_similar(spark.createDataFrame(rows, DOCS)).collect()
+    kept = drop(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("2", b), ("None", c), ("None", prose(4, 60))])
 
 

@@ -502,14 +502,16 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: str = "0.8", id_
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id; rows repeated with that id count once.
+    """One row of each component: that with the smallest id, a null id after all others.
 
-    Rows without an id stay only where their whole component has none.
+    Rows go by their own fingerprint, not by their id: of an id with two texts
+    each counts in its component, and texts without id are as good as others.
+    Of rows that repeat id and text one stays.
     """
-    found = near_duplicates(docs, shingle, budget, id_col, text_col).withColumnRenamed(id_col, "_id")
-    gone = materialize(found.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "simhash-gone")
-    again = materialize(found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_id").alias("_again")), "simhash-repeated")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    once = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_anti")
-    repeated = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated)
+    held = _held(docs, id_col, text_col)
+    prints = materialize(held.select("_id", "_digest", fingerprint(F.col("_text"), shingle).alias("fp")), "simhash-prints")
+    least = materialize(prints.groupBy("fp").agg(*_least("_digest")), "simhash-distinct")
+    roots = materialize(connected_components(fingerprint_links(least.select("fp"), budget)), "simhash-roots")
+    parts = least.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("part"))
+    chosen = materialize(parts.agg(F.min("first").alias("first")).select("first._id", "first._digest"), "simhash-chosen")
+    return _once(held, chosen, _repeated(prints)).select("_row.*")
