@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from corpus_pipeline import identify_language
 from textwarrant.llm import ann, bm25, bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
 from textwarrant.llm.components import connected_components
 
@@ -125,6 +126,20 @@ def test_language_id(spark, odd, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_only_texts_near_a_learned_language_stay(spark):
+    alphabets = {"aa": "abcde", "bb": "eghij", "cc": "yzwvu"}
+    def text(letters, i, n):
+        draw = np.random.default_rng([i, n])
+        return " ".join("".join(letters[k] for k in draw.integers(0, len(letters), 6)) for _ in range(n))
+    own = [(i, text(alphabets[lang], i, 3 + i % 40), lang, "s") for i in range(200) for lang in [list(alphabets)[i % 3]]]
+    other = [(500 + i, text("mnopqrs", i, 3 + i % 40), None, "s") for i in range(60)] + [(600, "Я не знаю этого языка", None, "s")]
+    nothing = [(700, None, None, "s"), (701, "12 !", None, "s")]
+    docs = spark.createDataFrame(own + other + nothing, DOCS)
+    assert {r.doc_id for r in identify_language(spark, docs, "").collect()} == {r[0] for r in own}
+    unlabelled = identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert {r.doc_id for r in unlabelled.collect()} == {r[0] for r in own + other}
+
+
 def test_grams_of_long_texts_are_whole(monkeypatch):
     encoder = langid.Encoder()
     text = "Ein Text, der nicht in ein Stück passt: Straße über Ödland."
