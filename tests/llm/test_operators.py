@@ -326,6 +326,16 @@ def test_similar_documents(spark, odd, empty, monkeypatch, block, run):
     assert simhash.drop_similar(empty).count() == 0
 
 
+def test_parities_rule_out_no_similar_pair(spark):
+    words = prose(8, 6000).split()
+    texts = [" ".join(words[:n][k:]) for n in (5, 40, 300, 3000, 6000) for k in (0, n // 12, n // 6)] + ["", prose(9, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "tid long, text string")
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    sets = [set(simhash._shingle_set(t, 5).tolist()) for t in texts]
+    own = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
+    assert len(own) > 8 and {(r.a, r.b) for r in simhash._verified(pairs, docs, 5, "0.8").collect()} == own
+
+
 @pytest.mark.parametrize("drop", [simhash.drop_similar, simhash.drop_near_duplicates])
 def test_documents_go_by_text_not_by_id(spark, drop):
     a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)

@@ -458,10 +458,57 @@ def _partings(similarity: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return pairs
 
 
+#: Buckets of a set's parities.
+PARITIES = 1024
+
+
+def _of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tid, text) of the texts in ``pairs``."""
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "similar-used")
+    return texts.select("tid", "text").join(used, "tid", "left_semi")
+
+
+def _parities(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, odd = [], []
+            for text in batch.column(1):
+                found = _shingle_set(text.as_py(), shingle)
+                sizes.append(len(found))
+                odd.append(np.packbits(np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())], names=["tid", "n", "odd"])
+
+    return marks
+
+
+def _not_ruled_out(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(total), -1) for k in (4, 5))
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            # of sets of t shingles together that differ in x, the Jaccard is (t - x) / (t + x)
+            stays = den * (total - differ) >= num * (total + differ)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(stays)) for k in (0, 1)], names=["a", "b"])
+
+    return left
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have Jaccard ``similarity`` or more."""
+    """The pairs (a, b) whose shingle sets have Jaccard ``similarity`` or more.
+
+    Parities rule out most pairs before texts are moved: two sets differ in at
+    least as many shingles as they have buckets of unlike parity.
+    """
     num, den = Fraction(similarity).as_integer_ratio()
     pairs = materialize(pairs, "similar-candidates")
+    marks = materialize(_of(pairs, texts).mapInArrow(_parities(shingle), "tid long, n long, odd binary"), "similar-parities")
+    a, b = (marks.select(F.col("tid").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in ("a", "b"))
+    marked = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "oa", "ob")
+    pairs = materialize(marked.mapInArrow(_not_ruled_out(num, den), "a long, b long"), "similar-left")
+    texts = materialize(_of(pairs, texts), "similar-left-texts")
     left = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
 
