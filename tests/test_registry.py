@@ -1,6 +1,8 @@
 """Every query with SQL gives what DuckDB gives, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +44,20 @@ def test_query_matches_sql(spark, database, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_run(spark, database, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_entry_without_the_training_data_subpackage():
+    """The driver's three functions work where the subpackage and its tests are gone."""
+    script = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name == 'textwarrant.llm' or name.startswith('textwarrant.llm.') or name == 'corpus_pipeline':\n"
+        "            raise ModuleNotFoundError(name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as entry\n"
+        "assert entry.queries() and entry.oracle_sql()\n"
+        "assert not [n for n in entry.queries() if n.startswith('op') or n == 'pipeline']\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", script], cwd=root, check=True)
