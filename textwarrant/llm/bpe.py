@@ -6,19 +6,21 @@ import base64
 import heapq
 import json
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-#: Bytes of text whose distinct words are folded together, as one row.
-BLOCK_BYTES = 8_000_000
+#: UTF-8 bytes of text whose distinct words are folded together, as one row.
+BLOCK_BYTES = 4_000_000
+#: Characters from which a text's words are numbered as they are found, not as one list.
+LONG_TEXT = 1_000_000
 #: The words that a sample of about so many documents holds most often, at most so many, are folded once and sent to all tasks.
 SAMPLE_DOCUMENTS = 20_000
 LEXICON = 400_000
@@ -36,18 +38,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """(left id, right id) -> id of the token that the two make together."""
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left id * IDS + right id -> id of the token that the two make together."""
     table = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                table[left, right] = rank
+                table[left * IDS + right] = rank
     return table
 
 
-def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
+def _displaced(table: dict[int, int], ids: int) -> tuple[list[int], list[int]]:
     """The merge table in two flat arrays: cell[start[left] + right] = left * IDS + merged.
 
     The rows of the sparse table, longest first, lie over one another where their
@@ -55,15 +57,15 @@ def _displaced(table: dict[tuple[int, int], int], ids: int) -> tuple[list[int],
     is. The arrays have some seven cells an id, of which two are filled.
     """
     rows: dict[int, list[int]] = {}
-    for left, right in table:
-        rows.setdefault(left, []).append(right)
+    for pair in table:
+        rows.setdefault(pair // IDS, []).append(pair % IDS)
     start, cell = np.zeros(ids, np.int64), np.full(7 * ids, EMPTY, np.int64)
     draw = np.random.default_rng(0)
     for left, rights in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         at = np.array(rights)
         place = next(p for p in iter(lambda: int(draw.integers(0, len(cell) - ids)), None) if (cell[p + at] == EMPTY).all())
         start[left] = place
-        cell[place + at] = [left * IDS + table[left, r] for r in rights]
+        cell[place + at] = [left * IDS + table[left * IDS + r] for r in rights]
     return start.tolist(), cell.tolist()
 
 
@@ -72,6 +74,11 @@ def rank_literals(model: Model) -> tuple[Column, Column]:
     return F.from_json(F.lit(model.start), "array<int>"), F.from_json(F.lit(model.cells), "array<bigint>")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
     """The ids (array<bigint>) of a word given as the ids of its bytes, array<bigint>.
 
@@ -84,13 +91,10 @@ def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
         """The merged id; IDS or more where the two don't merge."""
         return (F.get(cells, F.get(start, a) + b) - a * F.lit(IDS)).bitwiseAND(F.lit(MASK))
 
-    def let(value: Column, then) -> Column:
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
     def merged(ids: Column) -> Column:
         # rank and place in one number, so that the least is the leftmost of the lowest rank
         pairs = F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), 8) + i)
-        return let(F.array_min(pairs), lambda low: F.when(F.shiftright(low, 8) < IDS, joined(ids, low)).otherwise(ids))
+        return _let(F.array_min(pairs), lambda low: F.when(F.shiftright(low, 8) < IDS, joined(ids, low)).otherwise(ids))
 
     def joined(ids: Column, low: Column) -> Column:
         at = low.bitwiseAND(F.lit(255)).cast("int")
@@ -100,11 +104,11 @@ def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
     return F.aggregate(rounds, word, lambda ids, _: F.when(F.size(ids) > 1, merged(ids)).otherwise(ids))
 
 
-def heap_merges(ids: list[int], table: dict[tuple[int, int], int]) -> list[int]:
+def heap_merges(ids: list[int], table: dict[int, int]) -> list[int]:
     """The same merges in n log n steps, for long words."""
     n = len(ids)
     ids, before, after = list(ids), list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := table.get((ids[i], ids[i + 1]))) is not None]
+    heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := table.get(ids[i] * IDS + ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
         rank, i, a, b = heapq.heappop(heap)
@@ -115,7 +119,7 @@ def heap_merges(ids: list[int], table: dict[tuple[int, int], int]) -> list[int]:
         if after[j] >= 0:
             before[after[j]] = i
         for left, right in ((before[i], i), (i, after[i])):
-            if left >= 0 and right >= 0 and (new := table.get((ids[left], ids[right]))) is not None:
+            if left >= 0 and right >= 0 and (new := table.get(ids[left] * IDS + ids[right])) is not None:
                 heapq.heappush(heap, (new, left, ids[left], ids[right]))
     return [x for x in ids if x >= 0]
 
@@ -140,7 +144,7 @@ def _word_rows(texts: DataFrame, pattern: str) -> DataFrame:
 class Model(NamedTuple):
     """What a rank file says: its merges, the tokens taken whole, the ids of the bytes, and the merge table as JSON."""
 
-    table: dict[tuple[int, int], int]
+    table: dict[int, int]
     whole: dict[bytes, int]
     byte_ids: list[int]
     start: str
@@ -180,86 +184,94 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     """Each row's ``keep`` columns, its tokens (array<int>) and the same packed (binary, little-endian 32-bit).
 
     A text is parted by ``pattern``, each match encoded by itself as its UTF-8
-    bytes, without special tokens. Tasks gather the distinct words of blocks of
+    bytes, without special tokens. Tasks number the distinct words of blocks of
     texts, of BLOCK_BYTES at most unless one text has more; Spark's higher-order
     functions fold the merges over the bytes of each word, by a literal map of
-    ranks; tasks put the texts' ids together. Words that ``lexicon`` holds have
-    been folded before. No text is shuffled.
+    ranks, and put the texts' ids together by the numbers. Words that ``lexicon``
+    holds have been folded before. No text is shuffled, and a task keeps one
+    Python process: the lexicon and the words of one block.
 
-    A null or empty text has no tokens. Rows of any kind stay, repeated ones too.
+    A null or empty text has no tokens. Rows of any kind stay, repeated ones too;
+    an empty table gives an empty one. A text of any length is encoded whole.
     """
     model = read_model(ranks_path)
-    table, whole, byte_ids = model.table, model.whole, model.byte_ids
+    whole, byte_ids = model.whole, model.byte_ids
     kept = StructType([docs.schema[c] for c in keep])
-    words_type = ArrayType(ArrayType(LongType()))
-    block_type = StructType([StructField("rows", ArrayType(kept)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType())), StructField("words", words_type)])
-    packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    ids_type = ArrayType(ArrayType(IntegerType()))
+    block_type = StructType([StructField("rows", ArrayType(kept)), StructField("places", ids_type), StructField("done", ids_type), StructField("words", ArrayType(ArrayType(LongType())))])
     literals = rank_literals(model)
     fold = lambda w: fold_merges(w, literals)
-    common = docs.sparkSession.sparkContext.broadcast(lexicon(docs, pattern, fold, byte_ids, text_col, keep[0]))
+    frequent = lexicon(docs, pattern, fold, byte_ids, text_col, keep[0])
+    pairs = np.fromiter(model.table, np.int64, len(model.table)), np.fromiter(model.table.values(), np.int32, len(model.table))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, *pairs))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
+        find = regex.compile(pattern)
         lookup = np.array(byte_ids, np.int64)
-
-        base = _Places(zip(common.value.column(0).to_pylist(), range(common.value.num_rows), strict=True))
-
-        def block(rows: list[pa.Array], counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
-            raw = [w.encode("utf-8", "surrogatepass") for w in islice(seen, len(base), None)]
-            units = {i: [whole[r]] if r in whole else heap_merges(lookup[np.frombuffer(r, np.uint8)].tolist(), table) for i, r in enumerate(raw) if len(r) > LONG_WORD or r in whole}
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            flat = lookup[np.frombuffer(b"".join(raw), np.uint8)]
-            if units:
-                parts = np.split(flat, np.cumsum(sizes)[:-1])
-                for i, unit in units.items():
-                    parts[i], sizes[i] = np.array(unit, np.int64), len(unit)
-                flat = np.concatenate(parts)
-            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-            held = pa.concat_arrays(rows)
-            columns = [held, pa.array(counts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *places])), words]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            return pa.RecordBatch.from_arrays(lists, names=["rows", "counts", "places", "words"])
-
-        rows, counts, places, seen, size = [], [], [], _Places(base), 0
+        common, keys, merges = sent.value
+        base = {w: i for i, w in enumerate(common.column(0).to_pylist())}
+        bounds = np.r_[0, np.cumsum(common.column(1).value_lengths().to_numpy())].astype(np.int64)
+        known_ids = common.column(1).flatten().to_numpy()
+        table: dict[int, int] = {}
+
+        def unit(raw: bytes) -> np.ndarray:
+            if raw in whole:
+                return np.array([whole[raw]], np.int64)
+            ids = lookup[np.frombuffer(raw, np.uint8)]
+            if len(raw) <= LONG_WORD:
+                return ids
+            if not table:
+                table.update(zip(keys.tolist(), merges.tolist(), strict=True))
+            return np.array(heap_merges(ids.tolist(), table), np.int64)
+
+        def block(rows: list[pa.Array], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
+            of_base = np.fromiter((base.get(w, -1) for w in seen), np.int64, len(seen))
+            new = of_base < 0
+            words = [unit(w.encode("utf-8", "surrogatepass")) for w, n in zip(seen, new.tolist(), strict=True) if n]
+            # the folded words come first, then those of the lexicon
+            number = np.where(new, np.cumsum(new) - 1, len(words) + np.cumsum(~new) - 1).astype(np.int32)
+            used = of_base[~new]
+            done = _lists(_gathered(known_ids, bounds, used), bounds[used + 1] - bounds[used])
+            flat = np.concatenate([np.zeros(0, np.int64), *words])
+            columns = [
+                pa.concat_arrays(rows),
+                _lists(number[np.concatenate([np.zeros(0, np.int32), *places])], list(map(len, places))),
+                done,
+                _lists(flat, list(map(len, words))),
+            ]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["rows", "places", "done", "words"])
+
+        rows, places, seen, size = [], [], _Places(), 0
         for batch in batches:
             row, text = batch.column(0), batch.column(1)
             taken = 0
-            for i, value in enumerate(x.as_py() for x in text):
-                words = find(value or "")
-                places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-                counts.append(len(words))
-                size += len(value or "")
+            for i, bytes_ in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+                value = text[i].as_py() or ""
+                if len(value) < LONG_TEXT:
+                    words = find.findall(value)
+                    places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                else:
+                    places.append(np.fromiter((seen[m.group()] for m in find.finditer(value)), np.int32))
+                size += bytes_
                 if size >= BLOCK_BYTES:
-                    yield block([*rows, row.slice(taken, i + 1 - taken)], counts, places, seen)
-                    rows, counts, places, seen, size, taken = [], [], [], _Places(base), 0, i + 1
+                    yield block([*rows, row.slice(taken, i + 1 - taken)], places, seen)
+                    rows, places, seen, size, taken = [], [], _Places(), 0, i + 1
             if taken < len(row):
                 rows.append(row.slice(taken))
-        if counts:
-            yield block(rows, counts, places, seen)
+        if places:
+            yield block(rows, places, seen)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, counts, places, words = (batch.column(c)[i].values for c in range(4))
-                common_ids = common.value.column(1)
-                ids = np.concatenate([common_ids.flatten().to_numpy(), words.flatten().to_numpy().astype(np.int32)])
-                bounds = np.r_[0, np.cumsum(np.concatenate([common_ids.value_lengths().to_numpy(), words.value_lengths().to_numpy()]), dtype=np.int64)]
-                counts, places, at = counts.to_numpy(), places.to_numpy(), 0
-                for first in range(0, len(counts), 256):
-                    units = []
-                    for n in counts[first : first + 256]:
-                        units.append(_gathered(ids, bounds, places[at : at + n]))
-                        at += n
-                    tokens = _lists(units)
-                    binary = pa.array([u.astype("<u4").tobytes() for u in units], pa.binary())
-                    yield pa.RecordBatch.from_arrays([row.slice(first, 256), tokens, binary], names=["row", "tokens", "packed"])
-
-    held = packed.mapInArrow(blocks, block_type)
-    held = held.withColumn("words", F.transform("words", fold))
-    out = StructType([StructField("row", kept), StructField("tokens", ArrayType(IntegerType())), StructField("packed", BinaryType())])
-    return held.mapInArrow(texts, out).select("row.*", "tokens", "packed")
+    def ids_of(places: Column, words: Column) -> Column:
+        return F.flatten(F.transform(places, lambda p: F.get(words, p)))
+
+    held = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text")).mapInArrow(blocks, block_type)
+    words = F.concat(F.transform("words", lambda w: fold(w).cast("array<int>")), F.col("done"))
+    coded = _let(words, lambda known: F.transform("places", lambda p, i: F.struct(F.get("rows", i).alias("row"), ids_of(p, known).alias("tokens"))))
+    # no block is empty; a plain inline would make its array once more, to ask for its size
+    coded = held.select(F.inline_outer(coded)).select("row.*", "tokens")
+    return coded.withColumn("packed", _joined(F.col("tokens"), [i.to_bytes(4, "little") for i in range(max(byte_ids + list(model.table.values()) + list(whole.values())) + 1)]))
 
 
 class _Places(dict):
@@ -270,14 +282,25 @@ class _Places(dict):
         return n
 
 
-def _unmerged(ranks: dict[bytes, int], table: dict[tuple[int, int], int]) -> frozenset[bytes]:
+def _joined(tokens: Column, pieces: Sequence[bytes | None]) -> Column:
+    """The bytes of each token, ``pieces[token]``, one after the other.
+
+    Strings are bytes to Spark, which joins arrays of strings only.
+    """
+    coded = json.dumps([None if p is None else base64.b64encode(p).decode() for p in pieces])
+    held = F.from_json(F.lit(coded), "array<binary>").cast("array<string>")
+    return F.array_join(F.transform(tokens, lambda i: F.get(held, i)), "").cast("binary")
+
+
+def _unmerged(ranks: dict[bytes, int], table: dict[int, int]) -> frozenset[bytes]:
     """Tokens that their own bytes' merges don't reach: as whole words they are taken as they are."""
     return frozenset(t for t, r in ranks.items() if len(t) > 1 and heap_merges([ranks[t[i : i + 1]] for i in range(len(t))], table) != [r])
 
 
-def _lists(units: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(u) for u in units])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *units])))
+def _lists(values: np.ndarray, sizes: Sequence[int] | np.ndarray) -> pa.ListArray:
+    """``values`` parted into lists of ``sizes``."""
+    offsets = np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _gathered(values: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -291,8 +314,7 @@ def _gathered(values: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.
 def decode(tokens: Column, ranks_path: str) -> Column:
     """The bytes of token ids (array<int>): their pieces, one after the other; null for null."""
     ranks = read_ranks(ranks_path)
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    held = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(tokens, lambda i: F.get(held, i)), ""))
+        pieces[rank] = token
+    return _joined(tokens, pieces)
