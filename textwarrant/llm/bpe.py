@@ -24,7 +24,7 @@ LONG_TEXT = 1_000_000
 #: The words that a sample of about so many documents holds most often, at most so many, are folded once and sent to all tasks.
 SAMPLE_DOCUMENTS = 20_000
 LEXICON = 400_000
-#: Words of more bytes come to the fold with their merges done: a fold looks at every pair in every round.
+#: Words of more bytes are merged before the fold, which looks at every pair in every round.
 LONG_WORD = 64
 #: Above any id, and a mask for differences of cells; EMPTY belongs to no left id.
 IDS = 1 << 24
@@ -149,6 +149,7 @@ class Model(NamedTuple):
     byte_ids: list[int]
     start: str
     cells: str
+    ids: int
 
 
 @lru_cache(maxsize=2)
@@ -158,7 +159,7 @@ def read_model(path: str) -> Model:
     table = merge_table(ranks)
     start, cells = _displaced(table, max(ranks.values()) + 1)
     whole = {t: ranks[t] for t in _unmerged(ranks, table)}
-    return Model(table, whole, [ranks[bytes([b])] for b in range(256)], json.dumps(start), json.dumps(cells))
+    return Model(table, whole, [ranks[bytes([b])] for b in range(256)], json.dumps(start), json.dumps(cells), max(ranks.values()) + 1)
 
 
 def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_col: str, id_col: str) -> pa.RecordBatch:
@@ -216,30 +217,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         known_ids = common.column(1).flatten().to_numpy()
         table: dict[int, int] = {}
 
-        def unit(raw: bytes) -> np.ndarray:
+        def merged(raw: bytes) -> np.ndarray:
             if raw in whole:
-                return np.array([whole[raw]], np.int64)
-            ids = lookup[np.frombuffer(raw, np.uint8)]
-            if len(raw) <= LONG_WORD:
-                return ids
+                return np.array([whole[raw]], np.int32)
             if not table:
                 table.update(zip(keys.tolist(), merges.tolist(), strict=True))
-            return np.array(heap_merges(ids.tolist(), table), np.int64)
+            return np.array(heap_merges(lookup[np.frombuffer(raw, np.uint8)].tolist(), table), np.int32)
 
         def block(rows: list[pa.Array], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
             of_base = np.fromiter((base.get(w, -1) for w in seen), np.int64, len(seen))
-            new = of_base < 0
-            words = [unit(w.encode("utf-8", "surrogatepass")) for w, n in zip(seen, new.tolist(), strict=True) if n]
-            # the folded words come first, then those of the lexicon
-            number = np.where(new, np.cumsum(new) - 1, len(words) + np.cumsum(~new) - 1).astype(np.int32)
-            used = of_base[~new]
-            done = _lists(_gathered(known_ids, bounds, used), bounds[used + 1] - bounds[used])
-            flat = np.concatenate([np.zeros(0, np.int64), *words])
+            raw = {i: w.encode("utf-8", "surrogatepass") for i, (w, n) in enumerate(zip(seen, of_base.tolist(), strict=True)) if n < 0}
+            odd = {i: merged(r) for i, r in raw.items() if len(r) > LONG_WORD or r in whole}
+            folds = [lookup[np.frombuffer(r, np.uint8)] for i, r in raw.items() if i not in odd]
+            # the words to fold come first, then those of the lexicon, then those merged here
+            kind = np.where(of_base < 0, 0, 1)
+            kind[list(odd)] = 2
+            number = np.empty(len(seen), np.int32)
+            number[np.argsort(kind, kind="stable")] = np.arange(len(seen), dtype=np.int32)
+            used = of_base[kind == 1]
+            sizes = [*(bounds[used + 1] - bounds[used]).tolist(), *map(len, odd.values())]
+            done = _lists(np.concatenate([_gathered(known_ids, bounds, used), *odd.values()]), sizes)
+            flat = np.concatenate([np.zeros(0, np.int64), *folds])
             columns = [
                 pa.concat_arrays(rows),
                 _lists(number[np.concatenate([np.zeros(0, np.int32), *places])], list(map(len, places))),
                 done,
-                _lists(flat, list(map(len, words))),
+                _lists(flat, list(map(len, folds))),
             ]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["rows", "places", "done", "words"])
 
@@ -271,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     coded = _let(words, lambda known: F.transform("places", lambda p, i: F.struct(F.get("rows", i).alias("row"), ids_of(p, known).alias("tokens"))))
     # no block is empty; a plain inline would make its array once more, to ask for its size
     coded = held.select(F.inline_outer(coded)).select("row.*", "tokens")
-    return coded.withColumn("packed", _joined(F.col("tokens"), [i.to_bytes(4, "little") for i in range(max(byte_ids + list(model.table.values()) + list(whole.values())) + 1)]))
+    return coded.withColumn("packed", _joined(F.col("tokens"), [i.to_bytes(4, "little") for i in range(model.ids)]))
 
 
 class _Places(dict):
