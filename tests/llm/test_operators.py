@@ -458,3 +458,22 @@ def test_hilbert_neighbours_are_neighbours():
         assert sorted(keys.tolist()) == list(range(len(grid)))
         walk = grid[np.argsort(keys)]
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_recall_of_the_registered_search(spark):
+    """Vectors without structure: the registered windows, on several blocks, against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.collect()
+    assert len(rows) > 4 * ann.BLOCK
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in ann.nearest(table).collect():
+        found[r.query_id].add(r.vec_id)
+    hits, wanted = 0, 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(found[ids[q]] & set(ids[np.argsort(-s)[:5]].tolist()))
+        wanted += 5
+    assert hits / wanted >= 0.9

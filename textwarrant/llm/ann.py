@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from textwarrant.tables import materialize
 
 #: Curves, the dimensions that vectors are projected to and bits of each.
-ORDERINGS = 12
-PROJECTED = 12
-BITS = 4
+ORDERINGS = 16
+PROJECTED = 16
+BITS = 3
 SEED = 5
-#: The share of all vectors that a query looks at on each curve, at least, and rows of a block.
-WINDOW = 0.08
-BLOCK = 2048
+#: The share of all vectors that a query looks at on each curve, at least, rows of a block, and query blocks of one group.
+WINDOW = 0.05
+BLOCK = 128
+SPAN = 64
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,79 +70,89 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, window: float = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, window: float = WINDOW, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score (cosine), nearest first, ties to smaller ids.
 
     Queries are the rows whose id is divisible by ``every``; each is held against
     all rows but its own. Equal vectors are one point of the search, with their
-    k + 1 smallest ids, so that thousands of copies are one row.
+    k + 1 smallest ids, so that thousands of copies are one row; a row that
+    repeats id and vector counts once. Of an id with two vectors each asks and
+    each is found, by its better score.
 
     On each of ORDERINGS curves the points are dealt by range of key; their places
-    follow from each partition's count by a prefix sum, and BLOCK places make a
+    follow from each partition's count by a prefix sum, and ``block`` places make a
     block. A query looks at its own block and at as many on both sides as make
-    ``window`` of all points; a block's task returns the best of its points for
-    each query that looks at it, by exact cosine, and these are merged. No task
-    holds more than a block, and its queries.
+    ``window`` of all points, one at least; a block's task returns the best of its
+    points for each query that looks at it, by exact cosine, and these are merged.
+    Queries meet a block in groups of SPAN of their own blocks, so no group holds
+    more than a block of points and SPAN blocks of queries, however many rows there
+    are. With vectors that have no structure fewer points would not do: the share
+    is what keeps the recall at any size, and the work grows with it.
 
     Vectors that are null or zero, or hold null or non-finite components, take no
-    part; nor do rows without id and vectors of other dimensions than most. With
-    no more points than a block the result is exact.
+    part; nor do rows without id. Vectors of different dimensions don't compare
+    and are searched apart. An empty table finds nothing; other columns don't matter.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v")))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.filter(F.size("v") == (dims["d"] if dims else 0))
     of_vector = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("rn", F.row_number().over(of_vector)).filter(F.col("rn") <= k + 1)
     points = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    points = materialize(points.select(F.col("ids")[0].alias("p"), "ids", "v"), "ann-points")
+    # an id with two vectors may be the least of both, so points have numbers of their own
+    points = materialize(points.select(F.monotonically_increasing_id().alias("p"), F.col("ids")[0].alias("least"), "ids", "v"), "ann-points")
     asked = rows.filter(F.col("id") % every == 0).join(points.select("p", F.col("v").alias("pv")), F.col("v") == F.col("pv"))
     asked = materialize(asked.select(F.col("id").alias("query_id"), F.col("p").alias("q")).distinct(), "ann-queries")
 
-    n = points.count()
-    reach = max(1, int(np.ceil(window * n / 2 / BLOCK)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = points.select("p", "v").mapInArrow(_keyed, "o int, key long, p long")
     keyed = materialize(keyed.repartitionByRange(parts, "o", "key", "p").withColumn("pid", F.spark_partition_id()), "ann-keys")
     counts = keyed.groupBy("o", "pid").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("o").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("o").alias("co"), F.col("pid").alias("cp"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    curve = Window.partitionBy("o")
+    ahead = curve.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.ceil((F.sum("n").over(curve) * F.lit(window) / block - 1) / 2).cast("int")
+    counts = counts.select(F.col("o").alias("co"), F.col("pid").alias("cp"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), F.greatest(reach, F.lit(1)).alias("reach"))
     placed = keyed.join(counts, (F.col("o") == F.col("co")) & (F.col("pid") == F.col("cp")))
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("o", "pid").orderBy("key", "p")) - 1
-    placed = materialize(placed.select("o", "p", F.floor(place / BLOCK).cast("int").alias("block")), "ann-places")
-    last = placed.agg(F.max("block")).first()[0] or 0
+    placed = materialize(placed.select("o", "p", "reach", F.floor(place / block).cast("int").alias("block")), "ann-places")
 
-    held = placed.join(points.select("p", "v"), "p").select("o", "block", "p", "v", F.lit(False).alias("asks"))
-    near = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(last)))
+    # groups of a block: the query blocks that look at it, SPAN at a time
+    groups = F.sequence(F.lit(0), F.floor(F.col("reach") * 2 / SPAN).cast("int"))
+    held = placed.join(points.select("p", "v"), "p").select("o", "block", F.explode(groups).alias("part"), "p", "v", F.lit(False).alias("asks"))
     askers = placed.join(asked.select(F.col("q").alias("p")).distinct(), "p").join(points.select("p", "v"), "p")
-    askers = askers.select("o", F.explode(near).alias("block"), "p", "v", F.lit(True).alias("asks"))
+    near = F.sequence(F.greatest(F.col("block") - F.col("reach"), F.lit(0)), F.col("block") + F.col("reach"))
+    askers = askers.select("o", "p", "v", "reach", F.col("block").alias("own"), F.explode(near).alias("block"))
+    part = F.floor((F.col("own") - F.col("block") + F.col("reach")) / SPAN).cast("int")
+    askers = askers.select("o", "block", part.alias("part"), "p", "v", F.lit(True).alias("asks"))
     best = k + 1
 
     def ranked(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
+        asks, ids = group["asks"].to_numpy(bool), group["p"].to_numpy()
         if not asks.any() or asks.all():
             return pd.DataFrame({"q": [], "p": [], "score": []}, dtype="float64").astype({"q": "int64", "p": "int64"})
-        group = group.sort_values("p")
-        asks, ids = group["asks"].to_numpy(), group["p"].to_numpy()
         x = np.stack(group["v"].to_numpy()).astype(np.float64)
         length = np.sqrt((x * x).sum(axis=1))
         score = (x[asks] @ x[~asks].T) / (length[asks][:, None] * length[~asks][None, :])
-        top = np.argsort(-score, axis=1, kind="stable")[:, :best]
-        return pd.DataFrame({"q": np.repeat(ids[asks], top.shape[1]), "p": ids[~asks][top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
-
-    found = held.unionByName(askers).groupBy("o", "block").applyInPandas(ranked, "q long, p long, score double")
-    found = found.groupBy("q", "p").agg(F.max("score").alias("score"))
-    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))).filter(F.col("rn") <= best)
-    pairs = asked.join(found, "q").join(points.select("p", "ids"), "p").select("query_id", "score", F.explode("ids").alias("vec_id"))
+        # all of those that tie with the last
+        least = np.partition(score, -best, axis=1)[:, -best] if score.shape[1] > best else score.min(axis=1)
+        query, found = np.nonzero(score >= least[:, None])
+        return pd.DataFrame({"q": ids[asks][query], "p": ids[~asks][found], "score": score[query, found]})
+
+    found = held.unionByName(askers).groupBy("o", "block", "part").applyInPandas(ranked, "q long, p long, score double")
+    found = found.groupBy("q", "p").agg(F.max("score").alias("score")).join(points.select("p", "least", "ids"), "p")
+    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "p"))).filter(F.col("rn") <= best)
+    pairs = asked.join(found, "q").select("query_id", "score", F.explode("ids").alias("vec_id"))
     pairs = pairs.filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A curve's number tells the dimensions as well: vectors of each have curves of their own."""
     for batch in batches:
-        if batch.num_rows:
-            p, v = batch.column(0), batch.column(1)
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        sizes = batch.column(1).value_lengths().to_numpy()
+        for dims in np.unique(sizes).tolist():
+            own = batch.filter(pa.array(sizes == dims))
+            x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, dims)
             for o in range(ORDERINGS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), pa.array(curve_keys(x, o)), p], names=["o", "key", "p"])
+                number = np.full(len(x), dims * ORDERINGS + o, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(curve_keys(x, o)), own.column(0)], names=["o", "key", "p"])
