@@ -14,10 +14,12 @@ def exact_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Each row's first row of the same normalised form, and the number of others.
 
     Forms are grouped by a hash pair before the ids are joined back, so that a
-    form of very many rows is one row of the joined side.
+    form of very many rows is one row of the joined side. Null texts are a form of
+    their own, of length -1.
     """
     form = normalize(F.col(text_col))
-    keyed = docs.select(id_col, F.xxhash64(form).alias("h"), F.crc32(form.cast("binary")).alias("c"), F.length(form).alias("n"))
+    crc = F.coalesce(F.crc32(form.cast("binary")), F.lit(0))
+    keyed = docs.select(id_col, F.xxhash64(form).alias("h"), crc.alias("c"), F.coalesce(F.length(form), F.lit(-1)).alias("n"))
     groups = keyed.groupBy("h", "c", "n").agg(F.min(id_col).alias("first_id"), (F.count(F.lit(1)) - 1).alias("other_matches"))
     return keyed.join(groups, ["h", "c", "n"]).select(id_col, "first_id", "other_matches")
 

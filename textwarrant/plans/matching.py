@@ -92,14 +92,20 @@ def verbatim_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.verbatim_runs(load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents"), "item_id", "doc_id")
 
 
-@query()
+GREEDY = f"""{RUNS}, u as (select distinct doc_id, text_start s, (text_start + n_words)::int e from r),
+k as (select doc_id, 0 pos, null::int s, null::int e from (select distinct doc_id from u)
+ union all select k.doc_id, x.e, x.s, x.e from k, lateral (select greatest(u.s, k.pos) s, u.e from u where u.doc_id = k.doc_id and u.e - greatest(u.s, k.pos) >= 4 order by greatest(u.s, k.pos), u.e desc limit 1) x)"""
+
+
+@query(f"with recursive {GREEDY} select doc_id, s::int as text_start, (e - s)::int as n_words from k where s is not null")
 def greedy_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.greedy_runs(verbatim_runs(spark, sf_dir), "doc_id")
 
 
-@query(f"""with {RUNS}, c as (select doc_id, sum(n_words) covered, max(n_words) longest from r group by doc_id)
-select doc_id, covered::bigint covered, longest, round(least(covered / len(w), 1.0), 6) as share from c join dw using (doc_id)""")
+@query(f"""with recursive {GREEDY}, c as (select doc_id, sum(e - s)::bigint covered, max(e - s)::int longest from k where s is not null group by doc_id)
+select doc_id, covered, longest, round(covered / len(w), 6) as share from c join dw using (doc_id)""")
 def covered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verbatim_runs(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_words").alias("covered"), F.max("n_words").alias("longest"))
+    """The share of a document's words in runs that don't overlap, and the longest of these."""
+    found = greedy_runs(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_words").alias("covered"), F.max("n_words").alias("longest"))
     sizes = load(spark, sf_dir, "documents").select("doc_id", F.size(words(normalize(F.col("text")))).alias("n"))
-    return found.join(sizes, "doc_id").select("doc_id", "covered", "longest", F.round(F.least(F.col("covered") / F.col("n"), F.lit(1.0)), 6).alias("share"))
+    return found.join(sizes, "doc_id").select("doc_id", "covered", "longest", F.round(F.col("covered") / F.col("n"), 6).alias("share"))
