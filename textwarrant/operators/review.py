@@ -17,6 +17,26 @@ VARIANT = 0.60
 LEAST_WORDS = 3
 
 
+def most_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Each left text's most similar of its candidates: (left_id, right_id, a, b, score), ties to smaller ids.
+
+    ``pairs`` has both ids, ``left`` (left_id, a), ``right`` (right_id, b). Alignment is
+    quadratic, so it is done for the candidate of the greatest bound first, and
+    then for those only whose bound reaches that one's score.
+    """
+    texts = lambda ids: ids.join(left, left_id).join(right, right_id)
+    bounds = texts(pairs).select(left_id, right_id, F.round(fuzzy.similarity_bound(F.col("a"), F.col("b")), 6).alias("bound"))
+    bounds = materialize(bounds.filter("bound is not null"), "similar-bounds")
+    order = Window.partitionBy(left_id).orderBy(F.desc("bound"), right_id)
+    ranked = bounds.withColumn("rn", F.row_number().over(order))
+    exact = F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6)
+    first = materialize(texts(ranked.filter("rn = 1").select(left_id, right_id)).select(left_id, right_id, exact.alias("score")), "similar-first")
+    reach = ranked.filter("rn > 1").join(first.select(left_id, F.col("score").alias("least")), left_id).filter("bound >= least")
+    rest = texts(reach.select(left_id, right_id)).select(left_id, right_id, exact.alias("score"))
+    both = first.unionByName(rest).groupBy(left_id).agg(F.min(F.struct((-F.col("score")).alias("minus"), right_id)).alias("b"))
+    return texts(both.select(left_id, F.col(f"b.{right_id}").alias(right_id), (-F.col("b.minus")).alias("score")))
+
+
 def verify(segments: DataFrame, corpus: DataFrame, segment_id: str, corpus_id: str, candidates: int = 20) -> DataFrame:
     """Each segment's status, match type, source, confidence and differences.
 
@@ -34,11 +54,9 @@ def verify(segments: DataFrame, corpus: DataFrame, segment_id: str, corpus_id: s
 
     rest = segments.join(verified, segment_id, "left_anti")
     asked = retrieve.terms(rest, segment_id, F.col("text"))
-    tf = retrieve.terms(corpus, corpus_id, F.col("text"))
+    tf = materialize(retrieve.terms(corpus, corpus_id, F.col("text")), "review-terms")
     top = retrieve.jaccard_topk(asked, tf, candidates, segment_id, corpus_id).select(segment_id, corpus_id)
-    scored = top.join(forms.withColumnRenamed("form", "a"), segment_id).join(corpus.select(corpus_id, normalize(F.col("text")).alias("b")), corpus_id)
-    scored = scored.withColumn("score", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6))
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy(segment_id).orderBy(F.desc("score"), corpus_id))).filter("rn = 1")
+    best = most_similar(top, forms.withColumnRenamed("form", "a"), corpus.select(corpus_id, normalize(F.col("text")).alias("b")), segment_id, corpus_id)
     best = materialize(best, "review-best")
     close = (F.col("score") >= VARIANT) & (F.size(words(F.col("a"))) >= LEAST_WORDS)
     variant = best.filter(close).select(segment_id, corpus_id, F.lit("semantic_variant").alias("status"), F.lit("full").alias("match_type"), F.round("score", 2).alias("confidence"), fuzzy.word_differences(words(F.col("a")), words(F.col("b"))).alias("differences"))

@@ -65,10 +65,12 @@ def best_excerpt(texts: DataFrame, query_words: DataFrame, id_col: str, query_id
     placed = tokens.select(id_col, F.size("w").alias("n"), F.posexplode("w").alias("i", "term"))
     hits = placed.join(query_words, [id_col, "term"])
     # the earliest window with some hits ends with one of them, or begins the text
-    begins = hits.select(query_id, id_col, F.greatest(F.col("i") - (width - 1), F.lit(0)).alias("start")).distinct()
-    inside = begins.join(hits.select(query_id, id_col, "i", "weight"), [query_id, id_col]).filter((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + width))
-    sums = inside.groupBy(query_id, id_col, "start").agg(F.round(F.sum("weight"), 9).alias("weight"))
-    best = sums.groupBy(query_id, id_col).agg(F.max(F.struct("weight", (-F.col("start")).alias("minus"))).alias("b"))
+    ends = Window.partitionBy(query_id, id_col).orderBy("i").rangeBetween(-(width - 1), 0)
+    hits = hits.select(query_id, id_col, "i", "weight", F.sum("weight").over(ends).alias("upto"))
+    here = lambda weight, start: F.struct(F.round(weight, 9).alias("weight"), (-start).cast("int").alias("minus"))
+    later = F.max(F.when(F.col("i") >= width - 1, here(F.col("upto"), F.col("i") - (width - 1))))
+    first = F.sum(F.when(F.col("i") < width, F.col("weight")))
+    best = hits.groupBy(query_id, id_col).agg(F.greatest(later, F.when(first.isNotNull(), here(first, F.lit(0)))).alias("b"))
     best = best.select(query_id, id_col, (-F.col("b.minus")).alias("start"), F.col("b.weight").alias("weight"))
     cut = best.join(tokens, id_col)
     return cut.select(query_id, id_col, "start", "weight", F.array_join(F.slice("w", F.col("start") + 1, width), " ").alias("excerpt"), (F.col("start") > 0).alias("more_before"), (F.col("start") + width < F.size("w")).alias("more_after"))

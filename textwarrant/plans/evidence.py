@@ -10,9 +10,9 @@ from textwarrant.functions.text import normalize, words
 from textwarrant.operators import evidence, match, retrieve
 from textwarrant.plans.matching import CONTAINED, RUNS
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import _query_terms, _tf, bm25_topk, jaccard_topk
+from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of, jaccard_of
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
-from textwarrant.tables import load, materialize
+from textwarrant.tables import load
 
 DROPPED = ["the", "and", "of"]
 SYNONYMS = {"that": ["which", "this"], "in": ["inside"], "is": ["was", "that"], "for": ["of"]}
@@ -35,7 +35,7 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {TF}, i as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf from df, n), m as (select doc_id, count(*) n_terms, round(avg(idf), 6) mean_idf from tf join i using (term) group by doc_id)
 select doc_id, n_terms, mean_idf, n_terms >= 3 and mean_idf >= 3.8 as specific from m""")
 def specific_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.specific_texts(materialize(_tf(spark, sf_dir), "terms"))
+    return evidence.specific_texts(_tf(spark, sf_dir))
 
 
 @query(f"""with {TF}, r as (select query_id, arg_min(term, (coalesce(df, 0), term)) rarest from qt left join df using (term) group by query_id),
@@ -43,7 +43,7 @@ t as (select doc_id, term, case when length(term) >= 3 then left(term, 3) else '
 m as (select query_id, doc_id, bool_or(term = rarest) mentions from r join t on t.k = case when length(rarest) >= 3 then left(rarest, 3) else '=' || rarest end group by all)
 select query_id, rarest, count(doc_id) n_settle, count(*) filter (mentions) n_mention from r left join m using (query_id) group by all""")
 def subject_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = materialize(_tf(spark, sf_dir), "terms")
+    tf = _tf(spark, sf_dir)
     rarest = evidence.rarest_words(_query_terms(spark, sf_dir), tf)
     settled = evidence.texts_that_settle(rarest, tf).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_settle"), F.count_if("mentions").alias("n_mention"))
     return rarest.join(settled, "query_id", "left").select("query_id", "rarest", F.coalesce("n_settle", F.lit(0)).alias("n_settle"), F.coalesce("n_mention", F.lit(0)).alias("n_mention"))
@@ -67,8 +67,8 @@ best as (select *, row_number() over (partition by query_id order by round(share
 select query_id, doc_id, round(share, 2) as share, matched, cosine from best where rn = 1""")
 def nearest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest document of each passage among its best by keywords and by overlap; the cosine is that of word counts."""
-    tf = materialize(_tf(spark, sf_dir), "terms")
-    pairs = bm25_topk(spark, sf_dir).select("query_id", "doc_id").unionByName(jaccard_topk(spark, sf_dir).select("query_id", "doc_id")).distinct()
+    tf = _tf(spark, sf_dir)
+    pairs = bm25_of(spark, sf_dir, tf).select("query_id", "doc_id").unionByName(jaccard_of(spark, sf_dir, tf).select("query_id", "doc_id")).distinct()
     q = retrieve.terms(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text")).withColumnRenamed("tf", "qtf")
     norms = q.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf")).alias("qq"), F.count(F.lit(1)).alias("n_terms"))
     lengths = tf.groupBy("doc_id").agg(F.sum(F.col("tf").cast("long") * F.col("tf")).alias("dd"))
@@ -105,7 +105,7 @@ def recited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = match.verbatim_runs(items, docs, "item_id", "doc_id").groupBy("item_id", "doc_id").agg(F.max("n_words").alias("longest"))
     close = runs.join(size, "item_id").filter(F.col("longest") / F.col("n") >= 0.75)
     close = close.groupBy("item_id").agg(F.min_by("doc_id", F.struct(-F.col("longest"), F.col("doc_id"))).alias("doc_id"))
-    tf = materialize(_tf(spark, sf_dir), "terms")
+    tf = _tf(spark, sf_dir)
     rare = _query_terms(spark, sf_dir).withColumnRenamed("query_id", "item_id").join(evidence.term_idf(tf).filter("idf >= 3.0").select("term"), "term")
     sizes = rare.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     whole = rare.join(tf.select("doc_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("m")).join(sizes, "item_id").filter("m = n").select("item_id", "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textwarrant.functions import fuzzy, parse
 from textwarrant.functions.text import normalize, sentence_spans, token_spans, words
-from textwarrant.operators import match, retrieve, spans
+from textwarrant.operators import match, retrieve, review, spans
 from textwarrant.plans.matching import RUNS, verbatim_runs
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf
@@ -62,7 +62,7 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("id", spans.apply_edits(F.col("text"), F.col("edits")).alias("text"))
 
 
-@query(r"""select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) as text_md5 from pages""")
+@query(r"""select page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as text_md5 from pages""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.md5(parse.html_text(F.col("html")).cast("binary")).alias("text_md5"))
 
@@ -90,8 +90,7 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = retrieve.jaccard_topk(_query_terms(spark, sf_dir), _tf(spark, sf_dir), 10).select("query_id", "doc_id")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), normalize(F.col("text")).alias("a"))
     docs = load(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("b"))
-    scored = top.join(items, "query_id").join(docs, "doc_id").select("query_id", "doc_id", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6).alias("score"))
-    return retrieve.top_per_group(scored, ["query_id"], "score", "doc_id", 1).drop("rank")
+    return review.most_similar(top, items, docs, "query_id", "doc_id").select("query_id", "doc_id", "score")
 
 
 @query("""select * from (values (1, '''b'' differs from ''x''; missing words: ''d'''), (2, 'extra words: ''c'''), (3, '')) v(id, said)""")

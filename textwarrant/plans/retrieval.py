@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from textwarrant.operators import retrieve
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load, materialize
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.terms(load(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    """The term table, written once for all that a query asks of it."""
+    return materialize(retrieve.terms(load(spark, sf_dir, "documents"), "doc_id", F.col("text")), "terms")
 
 
 def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +58,21 @@ def distinctive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TF}, {JACCARD} select query_id, doc_id, score, rank::int as rank from ja")
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.jaccard_topk(_query_terms(spark, sf_dir), _tf(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return jaccard_of(spark, sf_dir, _tf(spark, sf_dir))
+
+
+def jaccard_of(spark: SparkSession, sf_dir: str, tf: DataFrame) -> DataFrame:
+    return retrieve.jaccard_topk(_query_terms(spark, sf_dir), tf).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"with {TF}, {BM25} select query_id, doc_id, score, n_terms, rank::int as rank from bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_of(spark, sf_dir, _tf(spark, sf_dir))
+
+
+def bm25_of(spark: SparkSession, sf_dir: str, tf: DataFrame) -> DataFrame:
     asked = retrieve.weighted_query(_query_terms(spark, sf_dir))
-    scored = retrieve.bm25_scores(asked, _tf(spark, sf_dir), 0.4)
+    scored = retrieve.bm25_scores(asked, tf, 0.4)
     scored = scored.withColumn("score", retrieve.rounded(F.col("score") * F.col("coverage"))).filter("score >= 4")
     return retrieve.top_per_group(scored, ["query_id"], "score", "doc_id", 10).select("query_id", "doc_id", "score", "n_terms", "rank")
 
@@ -72,7 +81,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
        " f as (select query_id, doc_id, round(sum(part), 9) score, array_to_string(list_sort(list(by_)), '+') found_by from fu group by all)"
        " select query_id, doc_id, score, found_by, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from f) where rank <= 10")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.fuse([("keyword", 0.5, bm25_topk(spark, sf_dir)), ("overlap", 1.0, jaccard_topk(spark, sf_dir))], 10).select("query_id", "doc_id", "score", "found_by", "rank")
+    tf = _tf(spark, sf_dir)
+    return retrieve.fuse([("keyword", 0.5, bm25_of(spark, sf_dir, tf)), ("overlap", 1.0, jaccard_of(spark, sf_dir, tf))], 10).select("query_id", "doc_id", "score", "found_by", "rank")
 
 
 FIELDS = f"""h as (select doc_id, unnest({word_list("split_part(text, chr(10), 1)")}) term from documents), hf as (select doc_id, term, count(*) tf from h group by all),
@@ -100,7 +110,7 @@ def two_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = retrieve.weighted_query(asked)
 
     def field(text, share: float, name: str) -> DataFrame:
-        tf = retrieve.terms(docs, "doc_id", text)
+        tf = materialize(retrieve.terms(docs, "doc_id", text), f"terms-{name}")
         scores = retrieve.bm25_scores(asked, tf, share).select("query_id", "doc_id", F.col("score").alias(name))
         df = retrieve.document_frequency(tf.join(asked, "term", "left_semi"))
         n = F.broadcast(tf.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from textwarrant.functions.text import chunks
 from textwarrant.operators import retrieve, sequence
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import _query_terms, _tf, bm25_topk
+from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of
 from textwarrant.plans.sql import BM25, TF, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load, materialize
 
 
 @query("""with w as (select a.conv_id, a.turn as first, b.turn as last, count(*) n, string_agg(c.text, ' ' order by c.turn) as text
@@ -65,7 +65,7 @@ select query_id, be.doc_id, start::int as start, round(weight, 6) as weight, md5
 def best_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = _tf(spark, sf_dir)
     asked = _query_terms(spark, sf_dir)
-    top = bm25_topk(spark, sf_dir).filter("rank <= 3").select("query_id", "doc_id")
+    top = materialize(bm25_of(spark, sf_dir, tf).filter("rank <= 3").select("query_id", "doc_id"), "excerpt-pairs")
     n = F.broadcast(tf.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")))
     idf = retrieve.document_frequency(tf).join(n).select("term", retrieve.bm25_idf(F.col("n"), F.col("df")).alias("weight"))
     hits = top.join(asked, "query_id").join(idf, "term")
