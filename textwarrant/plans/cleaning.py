@@ -9,7 +9,7 @@ from textwarrant.functions import clean
 from textwarrant.functions.text import normalize, words
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 SPACE = r"[ \t\r\n\f\v]+"
 #: Grades in transliteration, dealt to documents by their ids.

@@ -12,7 +12,7 @@ from textwarrant.plans.matching import CONTAINED, RUNS
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of, jaccard_of
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 DROPPED = ["the", "and", "of"]
 SYNONYMS = {"that": ["which", "this"], "in": ["inside"], "is": ["was", "that"], "for": ["of"]}

@@ -10,7 +10,7 @@ from textwarrant.operators import gates, identity, match, numbering
 from textwarrant.plans.matching import CONTAINED, RUNS
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 
 @query("""with d as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 place from documents where source is not null),

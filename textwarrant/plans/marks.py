@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarrant.functions import serial
 from textwarrant.operators import regions
 from textwarrant.plans.registry import query
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 #: A key for the queries below; a service has its own.
 KEY = bytes(range(32))

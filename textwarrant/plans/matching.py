@@ -9,7 +9,7 @@ from textwarrant.functions.text import normalize, sentence_spans, token_spans, w
 from textwarrant.operators import match
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 CONTAINED = f"""d as (select doc_id, {norm('text')} form from documents),
 b as (select item_id, {norm('text')} needle from benchmark),

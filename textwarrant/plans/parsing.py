@@ -15,7 +15,7 @@ from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf
 from textwarrant.plans.rulings import by_hand
 from textwarrant.streaming import stateful
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 
 @query("""select * from (values (1, 0, 20), (1, 60, 100), (2, 0, 10), (3, 5, 8)) v(id, start, "end")""")

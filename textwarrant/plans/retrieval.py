@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarrant.operators import retrieve
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
-from textwarrant.tables import load, materialize
+from textwarrant.tables import load_spread as load, materialize
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from textwarrant.functions.text import normalize, words
 from textwarrant.operators import retrieve, review, sequence
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import bm25_topk, jaccard_topk
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 
 @query()
@@ -26,14 +26,14 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
   (select *, lag(role) over (partition by conv_id order by turn) b from conversations)),
 c as (select conv_id, head, max(turn) covers_to from h group by all),
 r as (select conv_id, min(turn) f, max(turn) l from conversations group by conv_id),
-x as (select h.conv_id, head, min(turn) shown_at from h join r using (conv_id) where turn between f and least(f + 2, l) group by all)
+x as (select h.conv_id, head, min(turn) shown_at from h join r using (conv_id) where turn between f and l group by all)
 select x.conv_id as range_id, x.head, shown_at, covers_to, md5(text) as text_md5 from x join c on c.conv_id = x.conv_id and c.head = x.head join conversations t on t.conv_id = x.conv_id and t.turn = x.head""")
 def head_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of each conversation, each by the turn its speaker began with."""
+    """All turns of each conversation, each by the turn its speaker began with."""
     turns = load(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "group", "turn": "place"})
     heads = sequence.carried_head(turns, "group", "place", "role")
     ranges = turns.groupBy("group").agg(F.min("place").alias("first"), F.max("place").alias("most"))
-    ranges = ranges.select(F.col("group").alias("range_id"), "group", "first", F.least(F.col("first") + 2, "most").alias("last"))
+    ranges = ranges.select(F.col("group").alias("range_id"), "group", "first", F.col("most").alias("last"))
     found = review.head_lookup(ranges, heads, turns, "range_id")
     return found.select("range_id", "head", "shown_at", "covers_to", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

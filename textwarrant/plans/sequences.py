@@ -10,7 +10,7 @@ from textwarrant.operators import retrieve, sequence
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of
 from textwarrant.plans.sql import BM25, TF, word_list
-from textwarrant.tables import load, materialize
+from textwarrant.tables import load_spread as load, materialize
 
 
 @query("""with w as (select a.conv_id, a.turn as first, b.turn as last, count(*) n, string_agg(c.text, ' ' order by c.turn) as text

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarrant.operators import verify
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import norm, word_list
-from textwarrant.tables import load
+from textwarrant.tables import load_spread as load
 
 SENTENCES = rf"""sp as (select doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?؟])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) t from documents),
 su as (select doc_id, unnest(t) t, generate_subscripts(t, 1) i from sp), sf as (select doc_id, t, row_number() over (partition by doc_id order by i) - 1 no from su where regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),

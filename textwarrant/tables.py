@@ -14,6 +14,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, dealt to all cores where it lies in fewer files than there are cores and has less than a split for each.
+
+    A file of one row group is one task's work however long that takes. Tables
+    of more bytes or files are read as they are: their rows are never shuffled for this.
+    """
+    rows = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    small = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split
+    return rows.repartition(cores) if small and len(rows.inputFiles()) < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
