@@ -477,3 +477,57 @@ def test_recall_of_the_registered_search(spark):
         hits += len(found[ids[q]] & set(ids[np.argsort(-s)[:5]].tolist()))
         wanted += 5
     assert hits / wanted >= 0.9
+
+
+def test_profiles_against_plain_loops(spark):
+    """Bundles, prototypes and cosines written out letter by letter."""
+    encoder = langid.Encoder()
+
+    def bundle(text):
+        codes = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()]
+        out = np.zeros(langid.DIMENSIONS)
+        for i, code in enumerate(codes):
+            if code:
+                gram = (codes[i - 1] if i else 0, code, codes[i + 1] if i + 1 < len(codes) else 0)
+                bound = np.ones(langid.DIMENSIONS)
+                for place, c in enumerate(gram):
+                    bound *= np.roll(encoder.letter(c), place)
+                out += bound
+        return out
+
+    texts = ["A b, cde!", "der die das und", "the that and of", "", None, "ÄÖ ßx 12 y", "dddd eeee " * 30]
+    assert np.allclose(encoder.bundles(texts), [bundle(t) for t in texts])
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    learned = {"de": ["der die das und", "die und den"], "en": ["the that and of", "of the and"]}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in learned.items() for t in ts)]
+    prototypes = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = {k: unit(sum(unit(bundle(t)) for t in ts)) for k, ts in learned.items()}
+    for k in plain:
+        assert np.allclose(unit(np.array(prototypes[k])), plain[k], atol=1e-5)
+    asked = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    for r in asked.select("text", langid.predict(F.col("text"), prototypes).alias("p")).collect():
+        cosines = {k: float(unit(bundle(r.text)) @ v) for k, v in plain.items()}
+        best = max(cosines, key=cosines.get)
+        told = bool(bundle(r.text).any())
+        assert r.p.lang == (best if told else "und")
+        assert abs(r.p.score - (min(1.0, max(0.0, cosines[best])) if told else 0.0)) < 1e-4
+
+
+def test_shards_against_a_plain_prefix_sum(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    held = []
+    for i, t in rows:
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 0
+        held.append(((h - (1 << 64) if h >> 63 else h, zlib.crc32((t or "").encode()), t is None), (i is not None, i or 0), len((t or "").encode()) + 16))
+    held.sort()
+    total, at, expected, heads = sum(x[2] for x in held), 0, [], {}
+    group, began = None, 0.0
+    for n, (g, (_, i), size) in enumerate(held):
+        if g != group:
+            group, began = g, at + size / 2
+        shard = int(began * 40 / total)
+        heads.setdefault(shard, n)
+        expected.append((size, shard, n - heads[shard]))
+        at += size
+    found = [(r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(odd).collect()]
+    assert sorted(found) == sorted(expected)
