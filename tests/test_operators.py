@@ -9,9 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textwarrant.functions import arabic, fuzzy
+from textwarrant.functions import arabic, clauses, fuzzy
 from textwarrant.functions.text import normalize, sentence_spans, token_spans
-from textwarrant.operators import match, retrieve, spans
+from textwarrant.operators import gates, match, retrieve, spans
 from textwarrant.sources import corpora
 from textwarrant.streaming import stateful
 
@@ -190,3 +190,32 @@ def test_lexicon_forms_fold_like_texts(spark):
     forms = [f for listed in (lex.RULING, lex.CONSENSUS, lex.HEDGE, lex.AGREE, lex.DISAGREE) for f in lex.forms(listed)]
     rows = spark.createDataFrame([(f,) for f in forms], "form string").select("form", arabic.normalize(F.col("form")).alias("n")).collect()
     assert all(arabic.folded(r.form) == r.n for r in rows)
+
+
+def test_null_texts_are_a_form_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "A b"), (2, None), (3, None), (4, "a  B!"), (5, "")], "doc_id int, text string")
+    rows = {r.doc_id: (r.first_id, r.other_matches) for r in match.exact_matches(docs).collect()}
+    assert rows == {1: (1, 1), 4: (1, 1), 2: (2, 1), 3: (2, 1), 5: (5, 0)}
+
+
+def test_claims_stand_for_what_they_touch(spark):
+    local = spark.createDataFrame([(1, 0, 5, True), (1, 6, 9, False), (1, 20, 25, False), (2, 0, 3, False)], "doc_id int, start int, end int, verified boolean")
+    claims = spark.createDataFrame([(1, 1, 4, 7), (1, 2, 7, 12), (1, 3, 11, 15), (1, 4, 30, 33)], "doc_id int, place int, start int, end int")
+    found = sorted(tuple(r) for r in gates.merge_claims(local, claims, "doc_id").select("doc_id", "start", "end", "kind").collect())
+    # the first claim touches the verified finding; the third overlaps the second
+    assert found == [(1, 0, 5, "verified"), (1, 7, 12, "claim"), (1, 20, 25, "local"), (1, 30, 33, "claim"), (2, 0, 3, "local")]
+
+
+def test_marks_of_two_readings(spark):
+    cases = [("كَتَبَ", "كَتَبَ", False), ("كَتَبَ", "كُتِبَ", True), ("كتب", "كُتِبَ", False), ("إن", "أن", True), ("ان", "أن", False), ("كَتَبَ نصا", "كَتَبَ", False)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, said boolean")
+    for r in rows.select("i", "said", clauses.marks_conflict(F.split("a", " "), F.split("b", " ")).alias("found")).collect():
+        assert r.found == r.said, cases[r.i]
+
+
+def test_rewritten_claims(spark):
+    cases = [("ويأمر الاسلام بالصدقة", "يأمر بالصدقة", (0, 2)), ("a b c", "c a", None), ("a not b", "a b", None), ("a not b", "a not", (0, 1)), ("a b", "", None), ("a b", "x", None)]
+    rows = spark.createDataFrame([(i, s, c) for i, (s, c, _) in enumerate(cases)], "i int, s string, c string")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    for r in rows.select("i", clauses.rewrite_span(split("s"), split("c")).alias("at")).collect():
+        assert (tuple(r["at"]) if r["at"] else None) == cases[r.i][2], cases[r.i]
