@@ -106,7 +106,7 @@ def best_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with w as (select conv_id, turn, role, text, list_filter(string_split(text, ' '), lambda x: x <> '') w, turn = min(turn) over (partition by conv_id) and conv_id not in (1, 9) opens from conversations where text is not null)
 select conv_id, turn, md5(case when opens and len(w) > 4 then array_to_string(w[5:], ' ') else text end) as text_md5, opens and len(w) <= 4 as short from w""")
-def opening_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stripped_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn of each conversation but two without its first four words."""
     rows = load(spark, sf_dir, "conversations").filter("text is not null")
     opens = (F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))) & ~F.col("conv_id").isin(1, 9)
