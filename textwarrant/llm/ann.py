@@ -21,6 +21,9 @@ SEED = 5
 WINDOW = 0.05
 BLOCK = 128
 SPAN = 64
+#: Blocks on both sides that a query looks at first, on one curve, and what scores may differ by between two products.
+FIRST = 8
+ROUNDING = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -86,7 +89,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, window: float = WIN
     points for each query that looks at it, by exact cosine, and these are merged.
     Queries meet a block in groups of SPAN of their own blocks, so no group holds
     more than a block of points and SPAN blocks of queries, however many rows there
-    are. With vectors that have no structure fewer points would not do: the share
+    are. Before that each query looks at FIRST blocks on both sides of its own on
+    one curve: blocks return nothing below the (k + 1)th best of these, which
+    leaves the result as it is and most of the rows to merge unmade. With vectors that have no structure fewer points would not do: the share
     is what keeps the recall at any size, and the work grows with it.
 
     Vectors that are null or zero, or hold null or non-finite components, take no
@@ -115,14 +120,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, window: float = WIN
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("o", "pid").orderBy("key", "p")) - 1
     placed = materialize(placed.select("o", "p", "reach", F.floor(place / block).cast("int").alias("block")), "ann-places")
 
-    # groups of a block: the query blocks that look at it, SPAN at a time
-    groups = F.sequence(F.lit(0), F.floor(F.col("reach") * 2 / SPAN).cast("int"))
-    held = placed.join(points.select("p", "v"), "p").select("o", "block", F.explode(groups).alias("part"), "p", "v", F.lit(False).alias("asks"))
-    askers = placed.join(asked.select(F.col("q").alias("p")).distinct(), "p").join(points.select("p", "v"), "p")
-    near = F.sequence(F.greatest(F.col("block") - F.col("reach"), F.lit(0)), F.col("block") + F.col("reach"))
-    askers = askers.select("o", "p", "v", "reach", F.col("block").alias("own"), F.explode(near).alias("block"))
-    part = F.floor((F.col("own") - F.col("block") + F.col("reach")) / SPAN).cast("int")
-    askers = askers.select("o", "block", part.alias("part"), "p", "v", F.lit(True).alias("asks"))
     best = k + 1
 
     def ranked(group: pd.DataFrame) -> pd.DataFrame:
@@ -132,12 +129,31 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, window: float = WIN
         x = np.stack(group["v"].to_numpy()).astype(np.float64)
         length = np.sqrt((x * x).sum(axis=1))
         score = (x[asks] @ x[~asks].T) / (length[asks][:, None] * length[~asks][None, :])
-        # all of those that tie with the last
+        # all of those that tie with the last, and reach what the query has already
         least = np.partition(score, -best, axis=1)[:, -best] if score.shape[1] > best else score.min(axis=1)
+        least = np.fmax(least, group["floor"].to_numpy(np.float64)[asks])
         query, found = np.nonzero(score >= least[:, None])
         return pd.DataFrame({"q": ids[asks][query], "p": ids[~asks][found], "score": score[query, found]})
 
-    found = held.unionByName(askers).groupBy("o", "block", "part").applyInPandas(ranked, "q long, p long, score double")
+    def looked(places: DataFrame, floors: DataFrame | None) -> DataFrame:
+        """What queries find in the blocks up to ``reach`` away from their own, a block's best for each query."""
+        # groups of a block: the query blocks that look at it, SPAN at a time
+        groups = F.sequence(F.lit(0), F.floor(F.col("reach") * 2 / SPAN).cast("int"))
+        none = F.lit(None).cast("double")
+        held = places.join(points.select("p", "v"), "p").select("o", "block", F.explode(groups).alias("part"), "p", "v", none.alias("floor"), F.lit(False).alias("asks"))
+        askers = places.join(asked.select(F.col("q").alias("p")).distinct(), "p").join(points.select("p", "v"), "p")
+        askers = askers.withColumn("floor", none) if floors is None else askers.join(floors, "p", "left")
+        near = F.sequence(F.greatest(F.col("block") - F.col("reach"), F.lit(0)), F.col("block") + F.col("reach"))
+        askers = askers.select("o", "p", "v", "reach", "floor", F.col("block").alias("own"), F.explode(near).alias("block"))
+        part = F.floor((F.col("own") - F.col("block") + F.col("reach")) / SPAN).cast("int")
+        askers = askers.select("o", "block", part.alias("part"), "p", "v", "floor", F.lit(True).alias("asks"))
+        return held.unionByName(askers).groupBy("o", "block", "part").applyInPandas(ranked, "q long, p long, score double")
+
+    first = looked(placed.filter(F.col("o") % ORDERINGS == 0).withColumn("reach", F.least("reach", F.lit(FIRST))), None)
+    last = Window.partitionBy("q").orderBy(F.desc("score"), "p")
+    floors = first.withColumn("rn", F.row_number().over(last)).filter(F.col("rn") == best)
+    floors = materialize(floors.select(F.col("q").alias("p"), (F.col("score") - F.lit(ROUNDING)).alias("floor")), "ann-floors")
+    found = looked(placed, floors)
     found = found.groupBy("q", "p").agg(F.max("score").alias("score")).join(points.select("p", "least", "ids"), "p")
     found = found.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "p"))).filter(F.col("rn") <= best)
     pairs = asked.join(found, "q").select("query_id", "score", F.explode("ids").alias("vec_id"))
