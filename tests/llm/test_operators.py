@@ -451,6 +451,20 @@ def test_recall_where_windows_are_part_of_all(spark, monkeypatch):
     assert hits / 400 >= 0.9
 
 
+def test_the_first_look_leaves_the_result_as_it_is(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=16).tolist()) for i in range(1200)]
+    rows += [(i, rows[50][1]) for i in range(1200, 1240)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "FIRST", 1)
+    order = ("query_id", "rank")
+    floored = ann.nearest(table, every=25, window=0.3, block=32).orderBy(*order).collect()
+    monkeypatch.setattr(ann, "ROUNDING", 10.0)
+    free = ann.nearest(table, every=25, window=0.3, block=32).orderBy(*order).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in floored] == [(r.query_id, r.rank, r.vec_id) for r in free]
+    assert [r.score for r in floored] == pytest.approx([r.score for r in free])
+
+
 def test_hilbert_neighbours_are_neighbours():
     for d, bits in ((2, 4), (3, 3)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
