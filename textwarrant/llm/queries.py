@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import ann, bm25, bpe, langid, linededup, mixing, sharding, simhash, tokencount, warc
+from textwarrant.llm import ann, bm25, bpe, fim, langid, linededup, mixing, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_counts"] = op10_token_counts
+
+
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    output, form = F.col("fim_output"), F.col("fim_form")
+    return fim.transform(docs).select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        form.alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fim.restore(output, form), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES["op11_fim"] = op11_fim
+ORACLES["op11_fim"] = r"""
+with d as (select doc_id, coalesce(text, '') x, sha256('1:' || coalesce(doc_id::varchar, '')) s from documents),
+t as (select doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') u, ('0x' || substr(s, 1, 8))::bigint h1, ('0x' || substr(s, 9, 8))::bigint h2, ('0x' || substr(s, 17, 8))::bigint h3, ('0x' || substr(s, 25, 8))::bigint h4 from d),
+f as (select doc_id, x, u, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b,
+      case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from t),
+c as (select doc_id, x, n, form, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:n], '') s from f)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars, case when form <> 'plain' then length(m) end::bigint middle_chars,
+ sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(p || m || s) restored_sha256 from c
+"""
