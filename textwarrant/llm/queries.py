@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import ann, bm25, bpe, fim, langid, linededup, mixing, sharding, simhash, tokencount, warc
+from textwarrant.llm import ann, bm25, bpe, fim, langid, linededup, mixing, negatives, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,22 @@ c as (select doc_id, x, n, form, array_to_string(u[1:a], '') p, array_to_string(
 select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars, case when form <> 'plain' then length(m) end::bigint middle_chars,
  sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(p || m || s) restored_sha256 from c
 """
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", relabelled))
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
+ORACLES["op12_hard_negatives"] = r"""
+with r as (select distinct vec_id id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) label, embedding from embeddings
+ where vec_id is not null and label is not null and embedding is not null and list_count(embedding) = len(embedding) and coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)),
+v as (select id, label, list_transform(embedding, lambda x: floor(256 * x::double)) v from r),
+s as (select a.id anchor_id, b.id other, a.label = b.label same, list_inner_product(a.v, b.v)::bigint score from v a join v b on a.id <> b.id and len(a.v) = len(b.v) where a.id % 100 = 0),
+p as (select anchor_id, other positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, positive_id, row_number() over w::int as rank, other negative_id, positive_score, score negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, other) qualify row_number() over w <= 5
+"""
