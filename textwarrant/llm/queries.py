@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.llm import ann, bm25, bpe, fim, langid, linededup, mixing, negatives, sharding, simhash, tokencount, warc
+from textwarrant.llm import ann, bm25, bpe, fim, langid, linededup, mixing, negatives, pii, sharding, simhash, tokencount, warc
 from textwarrant.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,15 @@ select p.anchor_id, positive_id, row_number() over w::int as rank, other negativ
 from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
 window w as (partition by p.anchor_id, positive_id order by score desc, other) qualify row_number() over w <= 5
 """
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    of_kind = lambda kind: F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    added = (F.size("pii_spans") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"), added)
+
+
+QUERIES["op13_pii"] = op13_pii
