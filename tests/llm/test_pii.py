@@ -42,7 +42,7 @@ def test_base_spans_are_those_of_the_given_forms(spark):
     draw = random.Random(7)
     parts = ["a@b.c", "x.y@z", "@", ".", "-", " ", "+1", "(", ")", "4111111111111111", "4111 1111-1111 1111", "12", "7", "300.1.2.3.4", "10.0.0.1", "001.2.3.255", "é", "😀", "_d@e.f-g.h", "word", "\n", "+49 30 1234567", "555-3296"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 14))) for _ in range(1_500)]
-    texts += [None, "", "1" * 5_000, "a" * 200_000 + "@", "1.2.3.4 " * 3_000, "+1 (269) 555-3296 4524132264652876", "12 " * 5_000, "-" * 3_000]
+    texts += [None, "", "1" * 5_000, "a" * 10_000 + "@", "1.2.3.4 " * 3_000, "+1 (269) 555-3296 4524132264652876", "12 " * 5_000, "-" * 3_000]
     got = found(spark, texts)
     for i, t in enumerate(texts):
         base, spans = got[i]
