@@ -224,11 +224,13 @@ def entry_of(r):
     return r.entry and tuple(r.entry)
 
 
-def test_each_decision_is_that_of_the_plain_rules(spark, over):
-    plain = Plain(ROWS, RULES)
+@pytest.mark.parametrize("quota", [20, 1])
+def test_each_decision_is_that_of_the_plain_rules(spark, over, quota):
+    rules = RULES._replace(quotas={k: quota for k in entries.KINDS})
+    plain = Plain(ROWS, rules)
     assert sorted(map(tuple, (r.entry for r in over.entries.collect()))) == [e["id"] for e in plain.entries]
     segs = spark.createDataFrame(list(enumerate(TEXTS)), "seg int, text string")
-    got = {r.seg: r for r in decision.decide(segs, over, RULES).collect()}
+    got = {r.seg: r for r in decision.decide(segs, over, rules).collect()}
     assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
         assert (got[i].status, got[i].how, entry_of(got[i]), got[i].others, got[i].confidence) == plain.decide(t), t
@@ -258,6 +260,15 @@ def test_attributed_quotations_of_arabic(spark):
     assert got == {0: [("attributed", "إن مع العسر يسرا")], 1: [("attributed", "إنما الأعمال بالنيات وإنما")], 2: [], 3: [], 4: [("quran", "إن مع العسر يسرا")], 5: []}
 
 
+def test_letters_that_the_normal_form_makes_alike(spark):
+    rules = decision.Rules(normal=arabic.normalize, strict=lambda t: arabic.normalize(t, keep_taa=True))
+    rows = spark.createDataFrame([(1, ["إن رحمة الله قريب من المحسنين"])], "item_id long, texts array<string>")
+    corpus = decision.corpus(entries.spelled(rows, F.col("texts"), F.lit("verse"), arabic.normalize))
+    segs = spark.createDataFrame([(1, "رحمة الله قريب من"), (2, "رحمه الله قريب من"), (3, "أن رحمة الله")], "seg int, text string")
+    got = {r.seg: (r.status, r.differences) for r in decision.decide(segs, corpus, rules).collect()}
+    assert got == {1: ("verified", []), 2: ("variant", ["letter spelling differs from the source"]), 3: ("variant", ["explicit marks differ from the source"])}
+
+
 def test_no_rows_and_no_entries(spark, over):
     none = spark.createDataFrame([], "seg int, text string")
     assert decision.review(none, over, RULES).collect() == []

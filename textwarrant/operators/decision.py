@@ -106,26 +106,34 @@ def verbatim(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: str
 def most_alike(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: str = "seg") -> DataFrame:
     """(seg, entry, kind, form, score): of each segment's candidates the most similar form, where it reaches ``variant``.
 
-    Candidates are chosen over all entries, by quotas for each kind. Only those
-    whose lengths and words in common let them reach the threshold are aligned, as
-    alignment is quadratic; ties go to entries in their order, then forms.
+    Candidates are chosen over all entries, by quotas for each kind; ties go to
+    entries in their order, then forms. Alignment is quadratic and most texts are like none, so the
+    order is turned round without a change of the result: pairs are found
+    whose lengths and words in common let them reach the threshold, these are aligned,
+    and the quotas are worked out for the segments that any such pair is left of.
     """
-    # a segment that is too short for the shortest form, or too long for the longest, is like none
-    ends = held.each_form(over.entries).agg(F.min(F.length("form")).alias("c0"), F.max(F.length("form")).alias("c1"), F.min(F.size(words(F.col("form")))).alias("w0"), F.max(F.size(words(F.col("form")))).alias("w1"))
     ratio = lambda a, b: 2 * F.least(a, b) / (a + b)
-    near = lambda n, lo, hi: ratio(n, F.greatest(lo, F.least(hi, n)))
-    sized = segments.select(seg, "form", F.length("form").alias("c"), F.size(words(F.col("form"))).alias("w")).filter(F.col("w") >= rules.least_words)
-    able = sized.join(F.broadcast(ends)).filter((near(F.col("c"), F.col("c0"), F.col("c1")) + near(F.col("w"), F.col("w0"), F.col("w1"))) / 2 >= rules.variant)
-    able = able.select(seg, "form")
-    picked = materialize(held.candidates(able, over.entries, over.idf, over.sizes, rules.quotas, seg), "candidates")
-    pairs = picked.join(held.each_form(over.entries).select("entry", "no", F.col("form").alias("b")), "entry").join(able.select(seg, F.col("form").alias("a")), seg)
-    lengths = ratio(F.length("a"), F.length("b"))
-    in_both = lambda x, y: F.size(F.filter(x, lambda w: F.array_contains(y, w)))
-    common = let(words(F.col("a")), lambda x: let(words(F.col("b")), lambda y: 2 * F.least(in_both(x, y), in_both(y, x)) / (F.size(x) + F.size(y))))
-    pairs = pairs.filter((lengths + ratio(F.size(words(F.col("a"))), F.size(words(F.col("b"))))) / 2 >= rules.variant).filter((lengths + common) / 2 >= rules.variant)
+    size = lambda form: (F.length(form).alias("c"), F.size(words(form)).alias("w"))
+    forms = held.each_form(over.entries).select(F.monotonically_increasing_id().alias("f"), "entry", "kind", "no", "form", *size(F.col("form")))
+    forms = materialize(forms, "alike-forms")
+    segs = segments.select(F.monotonically_increasing_id().alias("n"), seg, "form", *size(F.col("form"))).filter(F.col("w") >= rules.least_words)
+    # a segment that is too short for the shortest form, or too long for the longest, is like none
+    ends = forms.agg(*[f(x).alias(f"{x}{i}") for x in ("c", "w") for i, f in enumerate((F.min, F.max))])
+    near = lambda x: ratio(F.col(x), F.greatest(f"{x}0", F.least(f"{x}1", x)))
+    segs = materialize(segs.join(F.broadcast(ends)).filter((near("c") + near("w")) / 2 >= rules.variant).select("n", seg, "form", "c", "w"), "alike-segments")
+    counted = lambda rows, key: rows.select(key, "c", "w", F.explode(words(F.col("form"))).alias("term")).groupBy(key, "c", "w", "term").agg(F.count(F.lit(1)).alias("times"))
+    ours, theirs = counted(segs, "n"), counted(forms, "f").withColumnsRenamed({"c": "fc", "w": "fw", "times": "ftimes"})
+    met = ours.join(theirs, "term").filter((ratio(F.col("c"), F.col("fc")) + ratio(F.col("w"), F.col("fw"))) / 2 >= rules.variant)
+    met = met.groupBy("n", "f").agg(F.sum(F.least("times", "ftimes")).alias("common"), F.first(ratio(F.col("c"), F.col("fc"))).alias("lengths"), F.first(F.col("w") + F.col("fw")).alias("total"))
+    met = met.filter((F.col("lengths") + 2 * F.col("common") / F.col("total")) / 2 >= rules.variant)
+    pairs = met.select("n", "f").join(segs.select("n", seg, F.col("form").alias("a")), "n").join(forms.select("f", "entry", "kind", "no", F.col("form").alias("b")), "f")
     # the alignments are made once, over all cores however few rows are left
     pairs = materialize(pairs.filter(fuzzy.similarity_bound(F.col("a"), F.col("b")) >= rules.variant), "alike-pairs")
     scored = pairs.withColumn("score", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6)).filter(F.col("score") >= rules.variant)
+    scored = materialize(scored.select(seg, "entry", "kind", "no", "b", "score"), "alike-scored")
+    asked = segs.select(seg, "form").join(scored.select(seg).distinct(), seg, "left_semi")
+    picked = held.candidates(asked, over.entries, over.idf, over.sizes, rules.quotas, seg).select(seg, "entry")
+    scored = scored.join(picked, [seg, "entry"])
     best = scored.groupBy(seg).agg(F.min_by(F.struct("entry", "kind", F.col("b").alias("form"), "score"), F.struct(-F.col("score"), F.col("entry"), F.col("no"))).alias("best"))
     return best.select(seg, "best.*")
 

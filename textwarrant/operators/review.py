@@ -9,14 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarrant.functions import fuzzy
-from textwarrant.functions.text import normalize, words
-from textwarrant.operators import match, retrieve
+from textwarrant.operators import decision, entries
 from textwarrant.tables import materialize
 
-VARIANT = 0.60
-LEAST_WORDS = 3
-
-
 def most_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Each left text's most similar of its candidates: (left_id, right_id, a, b, score), ties to smaller ids.
 
@@ -38,43 +33,12 @@ def most_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: s
 
 
 def verify(segments: DataFrame, corpus: DataFrame, segment_id: str, corpus_id: str, candidates: int = 20) -> DataFrame:
-    """Each segment's status, match type, source, confidence and differences.
-
-    Word for word first; what is left meets its best candidates by overlap and is
-    a variant of the most similar; what is left then is looked through for whole
-    runs of the corpus. Only what a stage leaves reaches the next.
-    """
-    forms = segments.select(segment_id, normalize(F.col("text")).alias("form"))
-    pairs = match.containment(segments, corpus, segment_id, corpus_id)
-    exact = forms.join(corpus.select(corpus_id, normalize(F.col("text")).alias("form")), "form").select(segment_id, corpus_id, F.lit("full").alias("match_type"))
-    found = match.first_source(pairs.unionByName(exact).distinct(), segment_id, corpus_id)
-    none = F.array().cast("array<string>")
-    verified = found.select(segment_id, corpus_id, F.lit("verified").alias("status"), "match_type", F.lit(1.0).alias("confidence"), none.alias("differences"))
-    verified = materialize(verified, "review-verified")
-
-    rest = segments.join(verified, segment_id, "left_anti")
-    asked = retrieve.terms(rest, segment_id, F.col("text"))
-    tf = materialize(retrieve.terms(corpus, corpus_id, F.col("text")), "review-terms")
-    top = retrieve.jaccard_topk(asked, tf, candidates, segment_id, corpus_id).select(segment_id, corpus_id)
-    best = most_similar(top, forms.withColumnRenamed("form", "a"), corpus.select(corpus_id, normalize(F.col("text")).alias("b")), segment_id, corpus_id)
-    best = materialize(best, "review-best")
-    close = (F.col("score") >= VARIANT) & (F.size(words(F.col("a"))) >= LEAST_WORDS)
-    variant = best.filter(close).select(segment_id, corpus_id, F.lit("semantic_variant").alias("status"), F.lit("full").alias("match_type"), F.round("score", 2).alias("confidence"), fuzzy.word_differences(words(F.col("a")), words(F.col("b"))).alias("differences"))
-    variant = materialize(variant, "review-variant")
-
-    rest = rest.join(variant, segment_id, "left_anti")
-    maximal = materialize(match.verbatim_runs(corpus, rest, corpus_id, segment_id), "review-runs")
-    kept = match.greedy_runs(maximal, segment_id)
-    longest = maximal.groupBy(segment_id).agg(F.max_by(corpus_id, F.struct("n_words", -F.col("text_start"), -F.col(corpus_id))).alias(corpus_id))
-    covered = kept.groupBy(segment_id).agg(F.sum("n_words").alias("covered"), F.sort_array(F.collect_list(F.struct("text_start", "n_words"))).alias("runs"))
-    said = F.transform("runs", lambda r: F.concat(F.lit("verbatim: '"), F.array_join(F.slice("w", r["text_start"] + 1, r["n_words"]), " "), F.lit("'")))
-    parts = covered.join(longest, segment_id).join(forms.select(segment_id, words(F.col("form")).alias("w")), segment_id)
-    built = parts.select(segment_id, corpus_id, F.lit("semantic_variant").alias("status"), F.lit("partial").alias("match_type"), F.round(F.col("covered") / F.size("w"), 2).alias("confidence"), said.alias("differences"))
-    built = materialize(built, "review-built")
-
-    rest = rest.join(built, segment_id, "left_anti").join(best.select(segment_id, "score"), segment_id, "left")
-    baseless = rest.select(segment_id, F.lit(None).cast(corpus.schema[corpus_id].dataType).alias(corpus_id), F.lit("baseless").alias("status"), F.lit(None).cast("string").alias("match_type"), F.round(1 - F.coalesce("score", F.lit(0.0)), 2).alias("confidence"), none.alias("differences"))
-    return verified.unionByName(variant).unionByName(built).unionByName(baseless)
+    """Each segment's status, match type, source, confidence and differences, by ``decision.decide`` over texts of one kind and one spelling."""
+    over = decision.corpus(entries.spelled(corpus, F.array("text"), F.lit("verse"), id_col=corpus_id))
+    found = decision.decide(segments.select(F.col(segment_id).alias("seg"), "text"), over, decision.Rules(quotas={"verse": candidates}))
+    status = F.when(F.col("status") == "variant", "semantic_variant").otherwise(F.col("status"))
+    match_type = F.when(F.col("how").isin("full", "altered"), "full").when(F.col("how").isNotNull(), "partial")
+    return found.select(F.col("seg").alias(segment_id), F.col("entry.item_id").alias(corpus_id), status.alias("status"), match_type.alias("match_type"), "confidence", "differences")
 
 
 def accepts_similar(share: Column, matched: Column, cosine: Column, n_terms: Column) -> Column:

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarrant.functions.text import normalize, sentence_spans, words
-from textwarrant.operators import match
-from textwarrant.tables import materialize
-
-#: Kinds of corpus texts, the ones to be named first before the others.
-KINDS = ("verse", "window", "hadith")
-#: A sentence whose runs cover as much of it is reported whole, and one of fewer words is a fragment of none.
-WHOLE_FROM = 0.6
-LEAST_WORDS = 3
-
+from textwarrant.operators import decision
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(seg, id, no, text, n): the sentences of each text that have words."""
@@ -23,47 +15,20 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.filter("n > 0").select(F.struct("id", "no").alias("seg"), "id", "no", "text", "n")
 
 
-def first_source(segments: DataFrame, corpus: DataFrame, hadith_gate: Column, seg: str = "seg") -> DataFrame:
-    """The corpus text that a segment is found in word for word, by one cascade: (seg, item_id, stage, other_matches).
+def first_source(sentences_: DataFrame, over: decision.Corpus, rules: decision.Rules = decision.Rules()) -> DataFrame:
+    """The entry that each sentence is found in word for word, by one cascade: (seg, entry, stage, other_matches).
 
-    Stages, from 1: a verse's exact words, part of one, a window's exact words,
-    part of one - the tightest - then, if ``hadith_gate`` lets the segment (which has enough words
-    of its own), a narration's exact words and part of one. ``corpus`` has item_id,
-    kind (see KINDS) and text; ties go to smaller ids.
+    Stages, from 1: a verse's whole form, part of one, a window's whole form,
+    part of one - the tightest - then a narration's whole form and part of one
+    if the sentence is distinctive (``entries.distinctive``). Ties go to entries in their order.
     """
-    pairs = match.containment(segments, corpus, seg, "item_id", LEAST_WORDS)
-    size = corpus.select("item_id", "kind", F.size(words(normalize(F.col("text")))).alias("size"))
-    held = pairs.join(size, "item_id").join(segments.select(seg, hadith_gate.alias("distinct")), seg)
-    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    held = held.withColumn("stage", place * 2 - F.when(F.col("match_type") == "full", 1).otherwise(0)).filter("kind <> 'hadith' or distinct")
-    tight = F.when(F.col("stage") == 4, F.col("size")).otherwise(0)
-    order = Window.partitionBy(seg).orderBy("stage", tight, "item_id")
-    first = held.withColumn("rn", F.row_number().over(order)).withColumn("others", F.count(F.lit(1)).over(Window.partitionBy(seg, "stage")) - 1)
-    return first.filter("rn = 1").select(seg, "item_id", "stage", F.col("others").alias("other_matches"))
+    rows = sentences_.select("seg", "text", rules.normal(F.col("text")).alias("form"))
+    found = decision.verbatim(rows, over, rules)
+    stage = F.col("entry.rank") * 2 - F.when(F.col("how") == "full", 1).otherwise(0)
+    return found.select("seg", "entry", stage.alias("stage"), F.col("others").alias("other_matches"))
 
 
-def verify_texts(docs: DataFrame, corpus: DataFrame, hadith_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The findings of each text: (id, no, kind, status, start, n_words, item_id), start in words of the sentence.
-
-    A sentence that the corpus holds is verified whole. Of another the runs of
-    four words or more that the corpus holds are cut out, each as verified, where
-    they cover less than WHOLE_FROM of it; where they cover more it is reported
-    whole, as a variant of the text with the longest of them. What shares no run
-    is baseless.
-    """
-    segs = materialize(sentences(docs, id_col, text_col), "sentences")
-    strict = materialize(first_source(segs, corpus, F.col("n") >= hadith_words), "sentences-verified")
-    rest = segs.join(strict, "seg", "left_anti")
-    runs = materialize(match.verbatim_runs(corpus, rest, "item_id", "seg"), "sentence-runs")
-    kept = match.greedy_runs(runs, "seg")
-    covered = kept.groupBy("seg").agg(F.sum("n_words").alias("covered"))
-    best = runs.groupBy("seg").agg(F.min_by("item_id", F.struct(-F.col("n_words"), F.col("item_id"))).alias("item_id"))
-    told = rest.select("seg", "n").join(covered, "seg", "left").withColumn("part", F.coalesce("covered", F.lit(0)) / F.col("n"))
-    none = F.lit(None).cast(corpus.schema["item_id"].dataType)
-    whole = lambda rows, status, item: rows.select("seg", F.lit("whole").alias("kind"), F.lit(status).alias("status"), F.lit(0).alias("start"), F.col("n").cast("long").alias("n_words"), item.alias("item_id"))
-    found = whole(strict.join(segs.select("seg", "n"), "seg"), "verified", F.col("item_id"))
-    found = found.unionByName(whole(told.filter(F.col("part") >= WHOLE_FROM).join(best, "seg"), "variant", F.col("item_id")))
-    found = found.unionByName(whole(told.filter("part = 0"), "baseless", none))
-    cut = kept.join(told.filter((F.col("part") > 0) & (F.col("part") < WHOLE_FROM)).select("seg"), "seg").join(best, "seg")
-    found = found.unionByName(cut.select("seg", F.lit("run").alias("kind"), F.lit("verified").alias("status"), F.col("text_start").alias("start"), F.col("n_words").cast("long").alias("n_words"), "item_id"))
-    return found.select(F.col("seg.id").alias("id"), F.col("seg.no").alias("no"), "kind", "status", "start", "n_words", "item_id")
+def verify_texts(docs: DataFrame, over: decision.Corpus, rules: decision.Rules = decision.Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The findings in each sentence of each text: id, no, and the columns of ``decision.review``, by the same decisions as everywhere."""
+    found = decision.review(sentences(docs, id_col, text_col), over, rules)
+    return found.select(F.col("seg.id").alias("id"), F.col("seg.no").alias("no"), *[c for c in found.columns if c != "seg"])
