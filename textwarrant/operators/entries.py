@@ -28,7 +28,7 @@ def spelled(rows: DataFrame, texts: Column, kind: Column, normal: Normal = norma
     the kind's place, the row's id and the number of members, by which entries are in order.
     """
     able = F.filter(texts, lambda t: F.coalesce(normal(t), F.lit("")) != "")
-    forms = F.array_distinct(F.transform(able, normal))
+    forms = F.array_distinct(F.transform(able, lambda t: normal(t)))
     entry = F.struct(_place(kind).alias("rank"), F.col(id_col).alias("item_id"), F.lit(1).alias("members"))
     return rows.select(entry.alias("entry"), kind.alias("kind"), F.get(able, F.lit(0)).alias("text"), forms.alias("forms")).filter(F.size("forms") > 0)
 

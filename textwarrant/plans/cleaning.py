@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from textwarrant.functions import clean
 from textwarrant.functions.text import normalize, words
 from textwarrant.plans.registry import query
-from textwarrant.plans.sql import norm, word_list
+from textwarrant.plans.sql import word_list
 from textwarrant.tables import load_spread as load
 
 SPACE = r"[ \t\r\n\f\v]+"
-#: Grades in transliteration, dealt to documents by their ids.
-SPELLED = ["Sahih", "Hasan Sahih", "Da'if", "Daif Isnaad", "Very Da'if", "Mawdu", "Sahih Lighairihi", "Isnaad Hasan Mauquf", "Munkar Mursal", "Sahih, agreed upon", "Sahih Bukhari", "Hasan (Muslim)", "unknown", ""]
-
-
-def _sql_case(column: str, table: dict[str, str]) -> str:
-    return "case " + " ".join(f"when regexp_matches({column}, '{p}') then '{n}'" for p, n in table.items()) + " end"
-
-
-def _sql_list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
 def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -59,16 +49,6 @@ def call_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.md5(key.cast("binary")).alias("key_md5"))
 
 
-@query(f"""with g as (select doc_id, ({_sql_list(SPELLED)})[(doc_id % {len(SPELLED)})::int + 1] g from documents), l as (select doc_id, g, lower(g) t from g),
-c as (select *, {_sql_case('t', clean.GRADES)} core, {_sql_case('t', clean.GRADE_BOOKS)} book from l),
-h as (select *, case when regexp_matches(t, 'isnaa?d|sanad') then 'إسناده ' || core else core end || case when regexp_matches(t, 'lighairihi') then ' لغيره' else '' end head from c)
-select doc_id, g as grade, case when core is null then case when trim(g) = '' then '—' else trim(g) end else concat_ws(' · ', head, {', '.join(f"case when regexp_matches(t, '{p}') then '{n}' end" for p, n in clean.GRADE_NOTES.items())}, book) end as label from h""")
-def grade_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grades = F.array(*[F.lit(g) for g in SPELLED])
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.get(grades, (F.col("doc_id") % len(SPELLED)).cast("int")).alias("grade"))
-    return rows.select("doc_id", "grade", clean.grade_label(F.col("grade")).alias("label"))
-
-
 @query(rf"""with t as (select doc_id, text, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> '') w from documents where text is not null),
 s as (select doc_id, len(list_filter(w, lambda x: length(x) = 1)) / greatest(len(w), 1) single,
  len(regexp_extract_all(text, '[\x{{0100}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}\x{{E000}}-\x{{F8FF}}\x{{FFFD}}]')) / greatest(length(text), 1) stray,

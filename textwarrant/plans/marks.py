@@ -1,4 +1,4 @@
-"""Queries of marked quotations and of serials; their SQL holds the answers worked out by hand."""
+"""Queries of signed serials."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarrant.functions import serial
-from textwarrant.operators import regions
 from textwarrant.plans.registry import query
 from textwarrant.tables import load_spread as load
 
@@ -14,17 +13,6 @@ from textwarrant.tables import load_spread as load
 KEY = bytes(range(32))
 
 
-@query("""select * from (values (1, 'quran', true, 'إن مع العسر يسرا'), (1, 'round', false, 'هذا قول من الناس'), (2, 'curly_brace', false, 'a b c'),
- (3, 'curly_brace', true, 'one two three four five'), (4, 'guillemets', true, 'واحد اثنان ثلاثة')) v(id, kind, attributed, text)""")
-def marked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, 'قال تعالى ﴿إن مع العسر يسرا﴾ ثم "كلمة واحدة" و(هذا قول من الناس)'), (2, "he said [one two {a b c} three] and {x y}"),
-        (3, "{one two three four five}"), (4, "في محكم التنزيل «واحد اثنان ثلاثة»"), (5, ""), (6, None),
-    ]
-    found = regions.marked_regions(spark.createDataFrame(rows, "id int, text string")).select("id", F.explode("regions").alias("r"))
-    return found.select("id", "r.kind", "r.attributed", "r.text")
-
-
 @query("""select doc_id, true as valid, date '2026-01-01' + (doc_id % 100)::int as "day", true as text_matches, false as other_matches, 'not_issued' as forged, true as mended from documents where text is not null""")
 def signed_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document signed, checked against its own and another text and another key, and mended after a misreading."""

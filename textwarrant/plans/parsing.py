@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +11,10 @@ from textwarrant.operators import match, retrieve, review, spans
 from textwarrant.plans.matching import RUNS, verbatim_runs
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf
-from textwarrant.plans.rulings import by_hand
 from textwarrant.streaming import stateful
 from textwarrant.tables import load_spread as load
 
 
-@query("""select * from (values (1, 0, 20), (1, 60, 100), (2, 0, 10), (3, 5, 8)) v(id, start, "end")""")
-def span_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = spark.createDataFrame([(1, 0, 100), (2, 0, 10), (3, 0, 8), (4, 2, 6)], "id int, start int, end int")
-    cuts = spark.createDataFrame([(1, 20, 40), (1, 30, 60), (2, 10, 12), (3, 0, 5), (4, 0, 9)], "id int, start int, end int")
-    return spans.subtract(whole, cuts, ["id"]).select("id", "start", "end")
-
-
 @query()
 def sentences_without_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the documents, less the stretches that quote a benchmark passage."""
@@ -48,37 +38,11 @@ def span_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.suppress(passages, runs, ["doc_id"], 0.5)
 
 
-@query("""select * from (values (1, 'b', 5, 15), (1, 'd', 20, 30), (2, 'x', 0, 3), (2, 'y', 3, 6)) v(id, name, start, "end")""")
-def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "a", 0, 10, 0.7), (1, "b", 5, 15, 0.9), (1, "c", 14, 22, 0.8), (1, "d", 20, 30, 0.6), (2, "x", 0, 3, 0.5), (2, "y", 3, 6, 0.5)]
-    table = spark.createDataFrame(rows, "id int, name string, start int, end int, share double")
-    return spans.greedy(table, ["id"], [-F.col("share"), F.col("name")], ["name"]).select("id", "name", "start", "end")
-
-
-@query("""select * from (values (1, 'aXYef.'), (2, 'abcd'), (3, 'one three')) v(id, text)""")
-def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "abcdef.", [(1, 4, "XY"), (0, 2, "no")]), (2, " . abcd", []), (3, "one two three", [(4, 7, "")])]
-    table = spark.createDataFrame(rows, "id int, text string, edits array<struct<start:int,end:int,to:string>>")
-    return table.select("id", spans.apply_edits(F.col("text"), F.col("edits")).alias("text"))
-
-
 @query(r"""select page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as text_md5 from pages""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.md5(parse.html_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-by_hand("labelled_record", lambda t: F.array_join(F.transform(F.array_sort(F.map_entries(parse.labelled(t))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"), {
-    "الراوي: أنس | المحدث: فلان - المصدر: كتاب الصفحة أو الرقم: 12 | خلاصة حكم المحدث: صحيح": "grade=صحيح;narrator=أنس;page=12;scholar=فلان;source=كتاب", "نص": "",
-})
-by_hand("strict_json_claims", lambda t: F.coalesce(F.array_join(parse.strict_claims(t), "+"), F.lit("error")), {'{"claims":["a"," "]}': "a", '{"claims":"a"}': "error", "not json": "error", "{}": "error", '{"claims":["x"," y "]}': "x+y", '{"claims":[]}': "", '{"claims":[1]}': "error"})
-by_hand("reference_range", lambda t: F.coalesce(F.array_join(parse.reference(t), ","), F.lit("error")), {"33:41-42": "33:41,33:42", "115:1": "error", "2:5-3": "error", "2:1-13": "error", "1:7": "1:7", "x": "error"})
-by_hand("image_payload", lambda t: F.coalesce(parse.image_payload(t)["error"], parse.image_payload(t)["bytes"].cast("string")), {
-    "data:image/png;base64," + base64.b64encode(b"12345").decode(): "5", "data:text/html;base64,AAAA": "not an image", "hello": "not an image", "data:image/jpeg;base64,A": "not base64",
-})
-by_hand("day_pack", lambda t: F.concat_ws(" ", parse.pack_day(t.cast("date")).cast("string"), parse.unpack_day(parse.pack_day(t.cast("date"))).cast("string")), {"2026-03-19": "32845 2026-03-19", "2026-01-01": "32768 2026-01-01"})
-by_hand("plain_number", lambda t: parse.plain_number(t.cast("double")), {"7.0": "7", "7.5": "7.5", "0": "0"})
-
-
 @query("select doc_id, upper(substr(sha256(text), 1, 32)) as fingerprint from documents")
 def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.hex(parse.fingerprint(F.col("text"))).alias("fingerprint"))
@@ -93,20 +57,6 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.most_similar(top, items, docs, "query_id", "doc_id").select("query_id", "doc_id", "score")
 
 
-@query("""select * from (values (1, '''b'' differs from ''x''; missing words: ''d'''), (2, 'extra words: ''c'''), (3, '')) v(id, said)""")
-def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([(1, "a b c", "a x c d"), (2, "a b c", "a b"), (3, "A, b", "a b!")], "id int, a string, b string")
-    return table.select("id", F.array_join(fuzzy.word_differences(words(normalize(F.col("a"))), words(normalize(F.col("b")))), "; ").alias("said"))
-
-
-@query("""select * from (values (1, 'one two', 'tree', 'three', 'four five six')) v(id, before, a, b, after)""")
-def reading_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([(1, "one two tree four five six seven", "One two three four five six seven.")], "id int, a string, b string")
-    raw = lambda c: F.split(c, " ")
-    found = fuzzy.readings(raw(F.col("a")), F.transform(raw(F.col("a")), normalize), raw(F.col("b")), F.transform(raw(F.col("b")), normalize))
-    return table.select("id", F.explode(found).alias("d")).select("id", "d.*")
-
-
 @query()
 def ordered_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each passage's words, weighted by idf, that its best documents hold in order."""

@@ -38,30 +38,6 @@ def head_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("range_id", "head", "shown_at", "covers_to", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("""select * from (values ('b', 1, 1, 'same'), ('b', 2, null, 'a'), ('b', 3, 3, 'similar'), ('b', 4, null, 'a'), ('b', 5, 6, 'same'), ('b', 6, 5, 'moved'), ('b', null, 7, 'b'), ('c', 1, 1, 'same'), ('c', 2, 2, 'place')) v(book, a_at, b_at, how)""")
-def sequence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = [("b", 1, "first one", "x"), ("b", 2, "only here", "x"), ("b", 3, "the third text of all", "x"), ("b", 4, "zzzz", "x"), ("b", 5, "moves about", "x"), ("b", 6, "the last", "x")]
-    b = [("b", 1, "first one", "x"), ("b", 3, "the third text of alls", "x"), ("b", 4, "", ""), ("b", 5, "the last", "x"), ("b", 6, "moves about", "x"), ("b", 7, "new", "x")]
-    a, b = [*a, ("c", 1, "x y", "x"), ("c", 2, "gone there", "x")], [*b, ("c", 1, "x y", "x"), ("c", 2, "", "")]
-    kind = "book string, at long, key string, text string"
-    a, b = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
-    return review.merge_editions(a, b, "book")
-
-
-@query("""select * from (values (1, true), (2, false), (3, true), (4, false), (5, true)) v(id, fits)""")
-def similar_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0.5, 4, 0.7, 6), (2, 0.5, 4, 0.69, 6), (3, 0.75, 3, 0.8, 4), (4, 0.6, 9, 0.9, 14), (5, 0.65, 9, 0.9, 14)]
-    table = spark.createDataFrame(rows, "id int, share double, matched int, cosine double, n int")
-    return table.select("id", review.accepts_similar(F.col("share"), F.col("matched"), F.col("cosine"), F.col("n")).alias("fits"))
-
-
-@query("""select * from (values (1, true), (2, false), (3, false), (4, true)) v(id, kept)""")
-def rewrite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "a c", "a b c"), (2, "c a", "a b c"), (3, "a x", "a b c"), (4, "b b", "a b c b")]
-    table = spark.createDataFrame(rows, "id int, wanted string, held string")
-    return table.select("id", review.keeps_order(words(F.col("wanted")), words(F.col("held"))).alias("kept"))
-
-
 @query()
 def review_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage: fused evidence, direct where two rankings found it, sorted by source and score."""

@@ -1,115 +1,40 @@
-"""Queries of rules over sentences dealt to the documents; their SQL holds the answers worked out by hand."""
+"""Queries of rules over the tables' own texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.functions import arabic
-from textwarrant.functions.text import words
-from textwarrant.operators import rules
-from textwarrant.plans.registry import ORACLES, QUERIES, query
+from textwarrant.functions import parse
+from textwarrant.operators import lexicons, rules
+from textwarrant.plans.registry import query
 from textwarrant.tables import load_spread as load
 
-
-def _quoted(value: object) -> str:
-    if value is None:
-        return "null"
-    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
-
-
-def by_hand(name: str, rule: Callable[[Column], Column], cases: dict[str, str]) -> None:
-    """A query that applies ``rule`` to a sentence for each document - the cases are dealt by document id, as the documents' own texts hold none of the words - and SQL with the answers worked out by hand."""
-    n = len(cases)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        dealt = F.get(F.array(*[F.lit(t) for t in cases]), (F.col("doc_id") % n).cast("int"))
-        return load(spark, sf_dir, "documents").select("doc_id", dealt.alias("text")).select("doc_id", rule(F.col("text")).alias("answer"))
-
-    QUERIES[name] = run
-    ORACLES[name] = f"select doc_id, ([{', '.join(map(_quoted, cases.values()))}])[(doc_id % {n})::int + 1] as answer from documents"
-
-
-by_hand("arabic_normalize", arabic.normalize, {
-    "الصَّلَاةُ": "الصلاه", "كـــتاب": "كتاب", "آمَنَ": "امن", "ذٰلك": "ذلك", "موسىٰ": "موسى", "الصلوٰة": "الصلاه", "Hello, World!": "hello world",
-    "لٰكنهم": "لكنهم", "إبراهم": "ابراهيم", "وهٰذا  الكتاب": "وهذا الكتاب", "": "", "!!": "",
-})
-by_hand("arabic_keep_taa", lambda t: arabic.normalize(t, keep_taa=True), {"الصَّلَاةُ": "الصلاة", "سنة": "سنة"})
-by_hand("light_stem", arabic.stem, {"المسلمون": "مسلم", "والكتاب": "كتاب", "كتابهم": "تاب", "من": "من", "الله": "الل", "بيت": "بيت", "صلاتها": "صلات"})
-by_hand("search_terms", lambda t: F.array_join(arabic.terms(t), " "), {"ما حكم الصلاة في البيت": "صلا بيت", "هل يجوز هذا": ""})
-by_hand("body_start", lambda t: arabic.body_start(words(arabic.normalize(t))).cast("string"), {
-    "حدثنا فلان عن فلان قال رسول الله صلى الله عليه وسلم قال انما الاعمال بالنيات": "12", "نص بلا سند": "0", "صلى الله عليه وسلم انه قال ان الاعمال": "6",
-})
-by_hand("ruling_assertion", rules.assertion, {
-    "زكاة الحلي واجبة بالإجماع": "consensus", "صلاة الضحى سنة": "definite", "الوتر سنة عند الجمهور": "hedged", "هذه واجبات منزلية": "none", "في سنة 1400": "none", "يجوز ذلك على الراجح": "hedged",
-})
-by_hand("ruling_agreement", rules.agreement, {
-    "اتفق الفقهاء على ذلك": "agreement", "اختلف الفقهاء في ذلك": "disagreement", "لا خلاف في ذلك": "agreement", "اتفق الفقهاء على الأصل وذهب الحنفية إلى غيره": "both", "نص عادي": "none",
-})
-by_hand("ruling_families", lambda t: F.array_join(rules.rulings(t), "+"), {
-    "لا يجب الوتر": "غير واجب", "الوتر واجب ويسن قبله الشفع": "واجب+سنة", "لا يجوز ويحرم": "لا يجوز+حرام", "بيع جائز": "جائز", "نص": "", "يكره وقيل يحرم ثم يكره": "مكروه+حرام",
-})
-by_hand("schools_named", lambda t: F.array_join(rules.schools(t), "+"), {"ذهب الحنفية والشافعية إلى ذلك": "الحنفية+الشافعية", "قال أحمد": "الحنابلة", "نص": ""})
-by_hand("school_positions", lambda t: F.array_join(F.transform(rules.positions(t), lambda p: F.concat(F.array_join(p["schools"], "+"), F.lit("="), F.coalesce(p["ruling"], F.lit("-")))), ";"), {
-    "ذهب الحنفية إلى أنه واجب. وقال الشافعية إنه مستحب. وهذا نص آخر طويل بلا ذكر.": "الحنفية=واجب;الشافعية=سنة", "قصير": "",
-})
-by_hand("grade_category", rules.grade_category, {"إسناده صحيح": "sahih", "لا يصح": "daif", "حديث حسن": "hasan", "موضوع": "fabricated", "كذا": "other", "ليس بصحيح": "daif"})
-by_hand("claim_cue", lambda t: rules.has_claim_cue(t).cast("string"), {"رواه مسلم": "true", "قال النبي كذا": "true", "قال الرجل": "false", "نبينا محمد": "false"})
-by_hand("text_genre", rules.genre, {
-    "إن الحمد لله نحمده ونستعينه": "khutbah", "انشرها تؤجر": "post", "هل يجوز كذا؟": "question", "كلام عادي": "text", "In conclusion this article ends": "article", "lorem " * 230: "article", "the lesson was a lecture": "lesson",
-})
-by_hand("text_language", rules.language, {
-    "هذا نص": "ar", "یہ ایک ہے اور ڈر ٹھیک گھر": "ur", "the prophet said": "en", "le prophète dit": "fr", "yang dan di": "id", "bu ve bir": "tr", "el profeta dijo": "es", "xyz qqq": "other", "123": "ar",
-})
-
-
-@query("""select * from (values (1, 'sahihayn', 2), (2, 'disputed', 3), (3, 'hasan', 3), (4, 'ungraded', 3), (5, 'quran', 1), (6, 'daif', 3), (7, 'sahih', 3), (8, null, null)) v(id, strength, level)""")
-def source_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, "hadith", "صحيح مسلم", ["Daif"]), (2, "hadith", "b", ["Sahih", "Daif"]), (3, "hadith", "b", ["Hasan"]), (4, "hadith", "b", []), (5, "quran", "q", None),
-        (6, "hadith", "b", ["Weak"]), (7, "hadith", "b", ["Hasan", "Sahih li ghairihi"]), (8, "other", "b", None),
-    ]
-    table = spark.createDataFrame(rows, "id int, classification string, book string, grades array<string>")
-    return table.select("id", rules.strength(F.col("classification"), F.col("book"), F.col("grades")).alias("strength"), rules.level(F.col("classification"), F.col("book")).alias("level"))
-
-
-@query("""select * from (values (1, 'mixed', 20.0, 0.5), (2, 'supported_weakly', 0.5, 0.0), (3, 'no_clear_evidence', 0.0, 0.5), (4, 'contradicted', 0.0, 1.5), (5, 'no_clear_evidence', 0.0, 0.0), (6, 'supported', 1.0, 0.0)) v(id, outcome, pro, contra)""")
-def claim_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, [("sahih", None)] * 10, [("daif", True)]), (2, [("daif", True)], []), (3, [], [("daif", None)]), (4, [], [("hasan", True)]), (5, [], []), (6, [("sahih", False)], []),
-    ]
-    kind = "array<struct<strength:string,covers_all:boolean>>"
-    table = spark.createDataFrame(rows, f"id int, s {kind}, c {kind}")
-    return table.select("id", rules.outcome(F.col("s"), F.col("c")).alias("outcome"), rules.evidence_weight(F.col("s")).alias("pro"), rules.evidence_weight(F.col("c")).alias("contra"))
+_HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains({words.split()}, x)))" for words in lexicons.LANGUAGE_WORDS.values())
 
 
-@query("""select * from (values (1, 'not_found'), (2, 'consensus_claim_disputed'), (3, 'stated_as_certain_disputed'), (4, 'disagreement_acknowledged'), (5, 'partly_disputed'), (6, 'agreement_differs'), (7, 'agreement_reported'), (8, 'found_no_marker'), (9, 'found_no_marker')) v(id, status)""")
-def ruling_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, "definite", [], None, []), (2, "consensus", ["disagreement"], None, []), (3, "definite", ["agreement", "disagreement"], None, []), (4, "hedged", ["disagreement"], None, []),
-        (5, "definite", ["both"], None, []), (6, "definite", ["agreement"], "هذا واجب", ["سنة"]), (7, "definite", ["agreement"], "لا يجوز كذا", ["حرام"]), (8, "definite", ["agreement"], "نص", ["حرام"]), (9, "none", ["none"], None, []),
-    ]
-    table = spark.createDataFrame(rows, "id int, assertion string, marks array<string>, claim string, reported array<string>")
-    way = rules.direction(F.col("claim"), F.col("reported"))
-    return table.select("id", rules.ruling_status(F.col("assertion"), F.col("marks"), way).alias("status"))
+@query(f"""with t as (select doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}+') w from documents where text is not null), h as (select *, [{_HITS}] h from t)
+select doc_id, case when len(regexp_extract_all(text, '[\\x{{0600}}-\\x{{06FF}}]')) >= len(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{024F}}]'))
+ then case when len(regexp_extract_all(text, '[{lexicons.URDU_LETTERS}]')) >= 3 then 'ur' else 'ar' end
+ when list_max(h) < 2 then 'other' else ({list(lexicons.LANGUAGE_WORDS)})[list_position(h, list_max(h))] end as language from h""")
+def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, by script and common words."""
+    return load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", rules.language(F.col("text")).alias("language"))
 
 
-@query("""select * from (values (1, 'ok', 'أ'), (2, 'ok', 'أ'), (3, 'bad', 'ج'), (4, 'khl', 'ج'), (5, 'fix', 'ج'), (6, 'fix', 'أ'), (7, 'bad', null), (8, 'ok', 'ب')) v(id, verdict, level)""")
-def quote_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, "verified", "quran", True, "quran"), (2, "verified", "hadith", True, "sahih"), (3, "verified", "hadith", True, "daif"), (4, "verified", "hadith", True, "disputed"),
-        (5, "verified", "hadith", True, "ungraded"), (6, "semantic_variant", "quran", True, "quran"), (7, "baseless", "unverified", False, None), (8, "verified", "hadith", True, "hasan"),
-    ]
-    table = spark.createDataFrame(rows, "id int, status string, classification string, has_source boolean, strength string")
-    status, source, strength = F.col("status"), F.col("has_source"), F.col("strength")
-    return table.select("id", rules.segment_verdict(status, F.col("classification"), source, strength).alias("verdict"), rules.segment_level(status, source, strength).alias("level"))
+@query("""with t as (select conv_id, turn, list_filter([trim(text), trim(role)], lambda x: x <> '') c from conversations where text is not null and role is not null)
+select conv_id, turn, len(c)::int as n_claims, md5(array_to_string(c, chr(30))) as claims_md5 from t""")
+def strict_json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn written as a strict JSON answer, with an empty claim besides, and read again."""
+    turns = load(spark, sf_dir, "conversations").filter("text is not null and role is not null")
+    answer = F.to_json(F.struct(F.array("text", F.lit(" "), "role").alias("claims")))
+    claims = parse.strict_claims(answer)
+    return turns.select("conv_id", "turn", F.size(claims).alias("n_claims"), F.md5(F.array_join(claims, "\x1e").cast("binary")).alias("claims_md5"))
 
 
-@query("""select * from (values (1, 'bad', 2), (2, 'ok', 0), (3, 'khl', 1)) v(id, worst, blocking)""")
-def review_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gravest verdict of a text's findings and how many of them stand in the way."""
-    rows = [(1, "mixed", None), (1, "none", "school_differs"), (1, "none", "agreement_reported"), (2, "none", "school_matches"), (3, "mixed", None), (3, "evidence_only", None)]
-    table = spark.createDataFrame(rows, "id int, outcome string, status string").withColumn("v", rules.claim_verdict(F.col("outcome"), F.col("status")))
-    return table.groupBy("id").agg(F.collect_list("v").alias("all"), F.count_if(F.col("v").isin("bad", "fix", "khl")).alias("blocking")).select("id", rules.worst(F.col("all")).alias("worst"), "blocking")
+@query("""select l_orderkey, l_linenumber, case when l_quantity = floor(l_quantity) then floor(l_quantity)::bigint::varchar else l_quantity::double::varchar end as quantity,
+ case when l_extendedprice = floor(l_extendedprice) then floor(l_extendedprice)::bigint::varchar else l_extendedprice::double::varchar end as price from lineitem""")
+def plain_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and prices as people write them."""
+    rows = load(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", parse.plain_number(F.col("l_quantity").cast("double")).alias("quantity"), parse.plain_number(F.col("l_extendedprice").cast("double")).alias("price"))

@@ -27,19 +27,25 @@ def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if small and len(rows.inputFiles()) < cores else rows
 
 
+#: The folders made for local masters, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset a temporary folder is made and set, which goes when the
-    process ends; only a local master can read it, so another one is an error.
+    Where it is unset a temporary folder is made, one for each application, which
+    goes when the process ends; only a local master can read it, so another one is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="textwarrant-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="textwarrant-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = _own[app]
     return found.rstrip("/")
 
 
@@ -57,4 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    # the application's end is the stage's end
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
