@@ -545,3 +545,19 @@ def test_shards_against_a_plain_prefix_sum(spark, odd):
         at += size
     found = [(r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(odd).collect()]
     assert sorted(found) == sorted(expected)
+
+
+def test_bpe_of_long_texts_and_columns_of_its_own_names(spark, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    from textwarrant.llm import bpe
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    monkeypatch.setattr(bpe, "LONG_TEXT", 5_000)
+    texts = ["word of a very long text, é 😀. " * 5_000, "short", None, "x" * 70 + " y" * 3_000]
+    docs = spark.createDataFrame([(i, t, "kept", "own", "own") for i, t in enumerate(texts)], "doc_id long, text string, lang string, tokens string, Packed string")
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "tokens", "Packed", "lang"))
+    assert coded.columns == ["doc_id", "lang", "tokens", "packed"]
+    assert {r.doc_id: list(r.tokens) for r in coded.collect()} == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}

@@ -14,15 +14,16 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_on_odd_rows(spark):
-    documents = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1))
+    documents = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit(1), "line_count": F.lit(777), "mix_size": F.lit("own"), "line_dropped": F.lit("own")})
     first = documents.filter("length(text) > 400 and lang = 'en'").orderBy("doc_id").first()
-    odd = [(900_001, None, "en", "src0", 0, 1), (900_002, "", "en", None, 0, 1), (900_003, "!!! 123", None, "src1", 7, 1)]
-    odd += [(900_004, first.text, "en", first.source, len(first.text), 1), (None, first.text, None, None, len(first.text), 1), (first.doc_id, first.text, "en", first.source, len(first.text), 1)]
+    odd = [(900_001, None, "en", "src0", 0, 1, 777, "own", "own"), (900_002, "", "en", None, 0, 1, 777, "own", "own"), (900_003, "!!! 123", None, "src1", 7, 1, 777, "own", "own")]
+    odd += [(900_004, first.text, "en", first.source, len(first.text), 1, 777, "own", "own"), (None, first.text, None, None, len(first.text), 1, 777, "own", "own"), (first.doc_id, first.text, "en", first.source, len(first.text), 1, 777, "own", "own")]
     docs = documents.unionByName(spark.createDataFrame(odd, documents.schema))
     counts, kept = [docs.count()], docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = materialize(stage(spark, kept, SF), f"test-{name}")
         assert kept.columns == docs.columns, name
+        assert [tuple(r) for r in kept.select("score", "line_count", "mix_size", "line_dropped").distinct().collect()] == [(1, 777, "own", "own")], name
         counts.append(kept.count())
         if name == "language_id":
             rows = {r.doc_id for r in kept.collect()}
@@ -46,3 +47,16 @@ def test_an_empty_table_passes_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_copies_of_each_source_and_a_dropped_line(spark):
+    """What line_dedup and mix decide, worked out by hand."""
+    texts = [(i, f"menu line here\nown words of text number {i}", "en", "a", 0) for i in range(30)] + [(100 + i, "four words each here", "en", "b", 0) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = {r.doc_id: r for r in stages["line_dedup"](spark, docs, SF).collect()}
+    assert all(clean[i].text == f"own words of text number {i}" and clean[i].n_chars == len(clean[i].text) for i in range(30))
+    even = spark.createDataFrame([(i, "two words", "en", "abc"[i % 3], 9) for i in range(240)], docs.schema)
+    taken = {r.source: r["count"] for r in stages["mix"](spark, even, SF).groupBy("source").count().collect()}
+    # of 480 words the sources get 300, 120 and 60 by weight: 150, 60 and 30 documents of two words
+    assert taken == {"a": 150, "b": 60, "c": 30}

@@ -171,7 +171,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
     Null and empty texts, and those without letters or digits, find and are found
     by nothing; rows without id take no part. A row repeated is ranked again. Of
-    queries with one id the terms are put together.
+    queries with one id the terms are put together. A document that shares a term has a score above zero and
+    is told if it is 1e-9 or more, the last digit that scores are rounded to. No documents or no queries find nothing.
     """
     spark = docs.sparkSession
     index = materialize(build_index(docs, id_col, text_col), "bm25-index")

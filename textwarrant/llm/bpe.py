@@ -193,8 +193,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     Python process: the lexicon and the words of one block.
 
     A null or empty text has no tokens. Rows of any kind stay, repeated ones too;
-    an empty table gives an empty one. A text of any length is encoded whole.
+    an empty table gives an empty one. A text of any length is encoded whole. Kept
+    columns named ``tokens`` or ``packed`` give way to the operator's.
     """
+    key, keep = keep[0], [c for c in keep if c.lower() not in ("tokens", "packed")]
     model = read_model(ranks_path)
     whole, byte_ids = model.whole, model.byte_ids
     kept = StructType([docs.schema[c] for c in keep])
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     block_type = StructType([StructField("rows", ArrayType(kept)), StructField("places", ids_type), StructField("done", ids_type), StructField("words", ArrayType(ArrayType(LongType())))])
     literals = rank_literals(model)
     fold = lambda w: fold_merges(w, literals)
-    frequent = lexicon(docs, pattern, fold, byte_ids, text_col, keep[0])
+    frequent = lexicon(docs, pattern, fold, byte_ids, text_col, key)
     pairs = np.fromiter(model.table, np.int64, len(model.table)), np.fromiter(model.table.values(), np.int32, len(model.table))
     sent = docs.sparkSession.sparkContext.broadcast((frequent, *pairs))
 

@@ -53,7 +53,8 @@ def drop_boilerplate(
     large to broadcast, by the optimizer's threshold.
 
     A null text stays null, with 0 lines; an empty one stays empty; a null host
-    is a host of its own. A text whose lines all go becomes empty.
+    is a host of its own. A text whose lines all go becomes empty. Repeated rows are
+    pages each, and stay; an empty table gives an empty one. Lines of any length are compared whole, by hash.
     """
     host = F.col(host_col) if isinstance(host_col, str) else host_col
     held = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_host"), F.col(text_col).alias("_text"))

@@ -118,7 +118,7 @@ def mix_sources(
     found, from ids and sizes, and each document is then held against it.
 
     A null or empty text has size 0 and takes floor(f) copies of nothing; a null
-    source is a source, the last one; rows repeated with one id and size share a
+    source is a source, the last one; texts of any length count whole; rows repeated with one id and size share a
     rank and are taken together. An empty table gives an empty table.
     """
     size = word_count(F.col(text_col))

@@ -29,6 +29,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     A null text has the size ``overhead`` and no checksum, and nulls are one
     group; so are empty texts. Repeated rows are a group. No row, no shard.
+    Texts of any length count whole; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     text = F.col(text_col)

@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
     Fingerprints link at ``budget`` or fewer differing bits; a component's id is
     the smallest document id in it. Texts without words, null ones too, have the
     fingerprint zero and link like any other. Repeated rows give repeated rows.
-    An id may be null; it is never the smallest of a component with others.
+    An id may be null; it is never the smallest of a component with others. Texts
+    of any length count whole, their shingles hashed a chunk at a time; an empty table gives an empty one; other columns are not looked at.
     """
     prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash-prints")
     least = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")

@@ -96,7 +96,8 @@ def token_count(text: Column, model_path: str) -> Column:
 
     The text is prefixed by a space, unless it begins with one, and parted before
     each space; nothing else is changed. Zero for a null or empty text. Each word
-    of a text is counted once per worker and remembered, up to REMEMBERED words.
+    of a text is counted once per worker and remembered, up to REMEMBERED words. A
+    text or word of any length is counted whole, in time that grows with it.
     """
     pieces, bytes_ = read_pieces(model_path)
 

@@ -140,7 +140,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     that a damaged length breaks ends there.
 
     A revisit tells its payload's size by its HTTP head and its digest by the
-    record's.
+    record's. Payloads of any length are read whole, empty ones too; no files, no records.
     """
     pieces = materialize(_candidates(spark, path), "warc-pieces")
     located = materialize(_located(pieces), "warc-located")
