@@ -32,6 +32,17 @@ def running_offset(rows: DataFrame, group: str, place: str, text: str) -> DataFr
     return rows.select(group, place, F.coalesce(F.sum(F.length(text) + 1).over(ahead), F.lit(0)).alias("offset"))
 
 
+def with_predecessor(rows: DataFrame, by: str, id_col: str, text_col: str = "text") -> DataFrame:
+    """Rows that have one before them in their group, in order of ids, with its text as ``before``; ids are unique.
+
+    Only ids are sorted within a group, whatever its size; the texts meet in a join.
+    """
+    ahead = rows.select(by, id_col).withColumn("_before", F.lag(id_col).over(Window.partitionBy(by).orderBy(id_col)))
+    pairs = ahead.filter(F.col("_before").isNotNull()).select(id_col, "_before")
+    texts = rows.select(F.col(id_col).alias("_before"), F.col(text_col).alias("before"))
+    return rows.join(pairs, id_col).join(texts, "_before").drop("_before")
+
+
 def carried_head(rows: DataFrame, group: str, place: str, value: str) -> DataFrame:
     """The place where each row's value was first stated: an empty value, or the same again, goes on with the last."""
     order = Window.partitionBy(group).orderBy(place)

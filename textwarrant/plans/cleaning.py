@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarrant.functions import clean
 from textwarrant.functions.text import normalize, words
+from textwarrant.operators import sequence
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import word_list
 from textwarrant.tables import load_spread as load
@@ -67,8 +68,7 @@ w as (select doc_id, list_filter(string_split({FOLD % 'before'}, ' '), lambda x:
 select doc_id, round(case when len(q) = 0 then 0.0 else len(list_filter(q, lambda x: list_contains(t, x) or list_contains(t, regexp_replace(x, '^(و|ف|ب|ل|ال)', '')) or list_contains(t, 'ال' || x)))::double / len(q) end, 6) as score from w""")
 def wording_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each document's predecessor in its source that it holds."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = _texts(spark, sf_dir, "source").withColumn("before", before).filter("before is not null")
+    rows = sequence.with_predecessor(_texts(spark, sf_dir, "source"), "source", "doc_id")
     return rows.select("doc_id", F.round(clean.wording_score(F.col("before"), F.col("text")), 6).alias("score"))
 
 
@@ -106,8 +106,7 @@ select doc_id, len(list_distinct(list_filter(w, lambda x: list_contains(b, x))))
  len(list_filter(w, lambda x: not list_contains(b, x))) = 0 and len(list_filter(b, lambda x: not list_contains(w, x))) = 0 as same_set from t where b is not null""")
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a document shares with its predecessor in its source, those it adds and those it lacks, and whether the sets are equal."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = _texts(spark, sf_dir, "source").withColumn("before", before).filter("before is not null")
+    rows = sequence.with_predecessor(_texts(spark, sf_dir, "source"), "source", "doc_id")
     rows = rows.select("doc_id", words(normalize(F.col("text"))).alias("w"), words(normalize(F.col("before"))).alias("b"))
     novel, missing = F.size(F.array_except("w", "b")), F.size(F.array_except("b", "w"))
     return rows.select("doc_id", F.size(F.array_intersect("w", "b")).alias("n_shared"), novel.alias("n_novel"), missing.alias("n_missing"), ((novel == 0) & (missing == 0)).alias("same_set"))

@@ -136,13 +136,13 @@ def claim_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(clauses.only_of(F.col("w"), INTRODUCING)).alias("n_introducing"), F.count_if(clauses.has_subject(F.col("w"), INTRODUCING[:3])).alias("n_with_subject"))
 
 
-@query(f"""with c as (select conv_id, turn, ({word_list('text')})[1:40] w from conversations where text is not null),
+@query(f"""with c as (select conv_id, turn, {word_list('text')} w from conversations where text is not null),
 k as (select conv_id, turn, w || case when turn % 4 = 1 then ['not'] else [] end w, list_filter(w, lambda x, i: i % 3 <> 0) q from c),
 q as (select conv_id, turn, w, case when turn % 3 = 2 then list_reverse(q) else q end q from k)
-select conv_id, turn, len(q) > 0 and turn % 4 <> 1 and regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' (.* )?') || ' ') as accepted from q""")
+select conv_id, turn, len(q) > 0 and not (list_has_any(w, {list(clauses.NEGATIONS)}) and not list_has_any(q, {list(clauses.NEGATIONS)})) and regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' (.* )?') || ' ') as accepted from q""")
 def rewrite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with every third word left out: taken back unless the order is turned or a negation was dropped."""
-    rows = load(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.slice(words(normalize(F.col("text"))), 1, 40).alias("w"))
+    rows = load(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", words(normalize(F.col("text"))).alias("w"))
     claim = F.filter("w", lambda x, i: (i + 1) % 3 != 0)
     claim = F.when(F.col("turn") % 3 == 2, F.reverse(claim)).otherwise(claim)
     held = F.concat("w", F.when(F.col("turn") % 4 == 1, F.array(F.lit("not"))).otherwise(F.array().cast("array<string>")))
@@ -159,11 +159,11 @@ def quoted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", n.alias("n")).filter("n >= 4").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_quotes"), F.min("n").alias("least_words"))
 
 
-@query(rf"""with w as (select doc_id, list_filter(list_transform(({word_list('text')})[1:30], lambda x: regexp_replace(x, '[^\p{{L}}]', '', 'g')), lambda x: x <> '') w from documents where text is not null)
+@query(rf"""with w as (select doc_id, list_filter(list_transform({word_list('text')}, lambda x: regexp_replace(x, '[^\p{{L}}]', '', 'g')), lambda x: x <> '') w from documents where text is not null)
 select doc_id, len(w) > 0 and doc_id % 3 = 0 as conflict from w""")
 def marked_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a mark on their first letter against the same with another mark (every third document), none or the same."""
-    letters = F.filter(F.transform(F.slice(words(normalize(F.col("text"))), 1, 30), lambda x: F.regexp_replace(x, r"[^\p{L}]", "")), lambda x: x != "")
+    letters = F.filter(F.transform(words(normalize(F.col("text"))), lambda x: F.regexp_replace(x, r"[^\p{L}]", "")), lambda x: x != "")
     rows = load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", letters.alias("w"))
     mark = lambda sign: F.transform("w", lambda x: F.concat(F.substring(x, 1, 1), sign, F.substring(x, 2, 1000)))
     other = F.when(F.col("doc_id") % 3 == 0, "ِ").when(F.col("doc_id") % 3 == 1, "").otherwise("َ")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarrant.functions.text import normalize, words
-from textwarrant.operators import gates, identity, match, numbering
+from textwarrant.operators import gates, identity, match, numbering, sequence
 from textwarrant.plans.matching import CONTAINED, RUNS
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import norm, word_list
@@ -151,8 +151,8 @@ g as (select unnest(list_filter(w, lambda x: not list_contains(b, x))) word from
 select word, count(*) n from g group by word order by n desc, word limit 20""")
 def common_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty words that documents most often add to their predecessors in their sources."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = load(spark, sf_dir, "documents").filter("text is not null").select("text", before.alias("before")).filter("before is not null")
+    docs = load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "text")
+    rows = sequence.with_predecessor(docs, "source", "doc_id").select("text", "before")
     gaps = rows.select(F.explode(F.array_except(words(normalize(F.col("text"))), words(normalize(F.col("before"))))).alias("word"))
     return gaps.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
