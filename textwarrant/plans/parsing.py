@@ -11,7 +11,9 @@ from textwarrant.operators import match, retrieve, review, spans
 from textwarrant.plans.matching import RUNS, verbatim_runs
 from textwarrant.plans.registry import query
 from textwarrant.plans.retrieval import _query_terms, _tf
+from textwarrant.sources import resume
 from textwarrant.streaming import stateful
+from textwarrant.tables import delete_at_exit, fresh_path
 from textwarrant.tables import load_spread as load
 
 
@@ -48,6 +50,18 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.hex(parse.fingerprint(F.col("text"))).alias("fingerprint"))
 
 
+@query("select doc_id, upper(substr(sha256(text), 1, 32)) as fingerprint from documents")
+def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, written in batches over an earlier state that lacked a source."""
+    path = fresh_path(spark, "resumed")
+    delete_at_exit(spark, path)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    make = lambda rows: rows.select("doc_id", "batch", F.hex(parse.fingerprint(F.col("text"))).alias("fingerprint"))
+    resume.write_batches(docs.filter("source is null or source <> 'src0'"), path, "source", make, batches=16, at_once=8)
+    resume.write_batches(docs, path, "source", make, batches=16, at_once=8)
+    return resume.read_batches(spark, path).drop("batch")
+
+
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage's most similar document of its ten by overlap."""
