@@ -173,7 +173,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(
     docs: DataFrame,
-    least: float = LEAST,
+    least: float = 0.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
