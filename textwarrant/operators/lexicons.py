@@ -57,12 +57,25 @@ HARD_CUES = "حديث الحديث احاديث الاحاديث روى رواه
 SAID_VERBS = "قال وقال فقال يقول ويقول قالت قوله وقوله".split()
 SOURCE_WORDS = "النبي رسول تعالى سبحانه".split()
 GENRE_CUES = {
-    "khutbah": r"إن الحمد لله|الحمد لله نحمده|أما بعد|عباد الله|أيها المسلمون|أيها المؤمنون|أيها الإخوة|أيها الناس|اتقوا الله|الخطبة الثانية|أقول قولي هذا|معاشر المسلمين|خطبة|"
-    r"الحمد لله الذي|معاشر المؤمنين|يا عباد الله|أيها الأحبة|إخوة الإيمان|أوصيكم ونفسي|بارك الله لي ولكم|praise be to allah|dear brothers|brothers and sisters|o servants of allah|khutbah|fear allah",
-    "post": r"انشرها|انشر\b|شارك|تؤجر|لا تجعلها تقف عندك|أرسلها|صدقة جارية|#\S+|[\x{1F300}-\x{1FAFF}]|\bshare\b|\bforward\b|\brepost\b|\blike and\b",
-    "question": r"هل يجوز|ما حكم|ما الحكم|سؤال|أفتونا|\bis it (?:permissible#allowed#haram#halal)\b|what is the ruling",
-    "lesson": r"الدرس|درسنا|في هذا الدرس|المحاضرة|الفائدة الأولى|\blesson\b|\blecture\b",
-    "article": r"المقال|مقالة|خلاصة القول|الخاتمة|\barticle\b|\bin conclusion\b",
+    "khutbah": [
+        "إن الحمد لله", "الحمد لله نحمده", "أما بعد", "عباد الله", "أيها المسلمون", "أيها المؤمنون", "أيها الإخوة", "أيها الناس", "اتقوا الله",
+        "الخطبة الثانية", "أقول قولي هذا", "معاشر المسلمين", "خطبة", "الحمد لله الذي", "معاشر المؤمنين", "يا عباد الله", "أيها الأحبة",
+        "إخوة الإيمان", "أوصيكم ونفسي", "بارك الله لي ولكم", "praise be to allah", "dear brothers", "brothers and sisters", "o servants of allah",
+        "khutbah", "fear allah",
+    ],
+    "post": [
+        "انشرها", r"انشر\b", "شارك", "تؤجر", "لا تجعلها تقف عندك", "أرسلها", "صدقة جارية", r"#\S+", r"[\x{1F300}-\x{1FAFF}]", r"\bshare\b",
+        r"\bforward\b", r"\brepost\b", r"\blike and\b",
+    ],
+    "question": [
+        "هل يجوز", "ما حكم", "ما الحكم", "سؤال", "أفتونا", r"\bis it (?:permissible|allowed|haram|halal)\b", "what is the ruling",
+    ],
+    "lesson": [
+        "الدرس", "درسنا", "في هذا الدرس", "المحاضرة", "الفائدة الأولى", r"\blesson\b", r"\blecture\b",
+    ],
+    "article": [
+        "المقال", "مقالة", "خلاصة القول", "الخاتمة", r"\barticle\b", r"\bin conclusion\b",
+    ],
 }
 LANGUAGE_WORDS = {
     "en": "the and of is to that in it for was he his with allah prophet said says not be are this you they",

@@ -168,8 +168,8 @@ def genre(text: Column) -> Column:
         scores = []
         for kind in order:
             score = F.lit(0)
-            for cue in lex.GENRE_CUES[kind].split("|"):
-                pattern = "(?iu)" + cue.replace("#", "|") if cue.startswith(r"\bis it") else "(?iu)" + cue.replace(r"\b", r"(?U)\b")
+            for cue in lex.GENRE_CUES[kind]:
+                pattern = "(?iu)" + cue.replace(r"\b", r"(?U)\b")
                 at = F.regexp_instr(t, F.lit(pattern))
                 early = (at <= 120) | F.substring(t, 1, 600).rlike(pattern) if kind == "khutbah" else at <= 120
                 score = score + F.when(at == 0, 0).when(early, 2).otherwise(1)
