@@ -283,10 +283,11 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: str = "0.8") -
     return links.unionByName(_verified(rest, texts, shingle, similarity))
 
 
-#: Texts whose shingles are counted to order them, in how many a common one is, and how many are kept.
-ORDER_SAMPLE = 8000
-COMMON_FROM = 4
-COMMON_KEPT = 50_000
+#: The share of texts whose shingles are counted to order them, in how many of these a common one is, and how many are kept.
+#: A share, as of a fixed number of texts a shingle is held uncommon by ever more, and pairs grow as their square.
+ORDER_SHARE = 1 / 12
+COMMON_FROM = 2
+COMMON_KEPT = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -308,9 +309,7 @@ def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and in about how many texts each is, by a sample of them."""
-    total = texts.count()
-    share = min(1.0, ORDER_SAMPLE / max(1, total))
-    sample = texts.filter(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
+    sample = texts.filter(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < ORDER_SHARE * (1 << 20)).select("text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,10 +317,10 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], names=["key"])
 
     counts = sample.mapInArrow(listed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
-    rows = counts.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).collect()
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r["n"] / share for r in rows], np.float64)[order]
+    return keys[order], rows.column("n").to_numpy()[order] / ORDER_SHARE
 
 
 def _prefixes(shingle: int, similarity: str, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -336,7 +335,7 @@ def _prefixes(shingle: int, similarity: str, common: tuple[np.ndarray, np.ndarra
             for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = _shingle_set(text.as_py(), shingle)
                 n = len(found)
-                last = np.isin(found, keys, assume_unique=True)
+                last = _among(found, keys)
                 first = np.concatenate([found[~last], found[last]])[: n + num * n // -den + 1]
                 first = first if n else np.zeros(1, np.uint64)
                 place, pair = np.arange(len(first)), np.zeros(len(first), np.int64)
@@ -354,6 +353,13 @@ def _prefixes(shingle: int, similarity: str, common: tuple[np.ndarray, np.ndarra
     return rows
 
 
+def _among(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``found`` are among the sorted ``keys``: by search, as a text's few would else be sorted with all keys."""
+    if not len(keys):
+        return np.zeros(len(found), bool)
+    return keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
+
+
 def _columns(rows: np.ndarray, names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names=list(names))
 
