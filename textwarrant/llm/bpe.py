@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -26,6 +26,8 @@ SAMPLE_DOCUMENTS = 20_000
 LEXICON = 400_000
 #: Words of more bytes are merged before the fold, which looks at every pair in every round.
 LONG_WORD = 64
+#: Characters of a plan's description: the driver keeps one of each run, and the rank map alone has millions.
+PLAN_TEXT = 100_000
 #: Above any id, and a mask for differences of cells; EMPTY belongs to no left id.
 IDS = 1 << 24
 MASK = (1 << 52) - 1
@@ -181,6 +183,13 @@ def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_c
     return pa.RecordBatch.from_arrays(columns, names=found.column_names)
 
 
+def _short_descriptions(spark: SparkSession) -> None:
+    """Plans are described in PLAN_TEXT characters at most from here on in this session; a shorter setting stays."""
+    name = "spark.sql.maxPlanStringLength"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > PLAN_TEXT:
+        spark.conf.set(name, PLAN_TEXT)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Each row's ``keep`` columns, its tokens (array<int>) and the same packed (binary, little-endian 32-bit).
 
@@ -194,8 +203,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
 
     A null or empty text has no tokens. Rows of any kind stay, repeated ones too;
     an empty table gives an empty one. A text of any length is encoded whole. Kept
-    columns named ``tokens`` or ``packed`` give way to the operator's.
+    columns named ``tokens`` or ``packed`` give way to the operator's. The session
+    describes plans in PLAN_TEXT characters at most from then on.
     """
+    _short_descriptions(docs.sparkSession)
     key, keep = keep[0], [c for c in keep if c.lower() not in ("tokens", "packed")]
     model = read_model(ranks_path)
     whole, byte_ids = model.whole, model.byte_ids
