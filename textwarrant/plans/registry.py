@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from textwarrant.plans import cleaning, evidence, gates, marks, matching, parsing, retrieval, reviews, rulings, sequences, verification  # noqa: E402, F401  (they register their queries)
+from textwarrant.plans import cleaning, evidence, gates, marks, matching, parsing, retrieval, reviews, rulings, sequences, verification, wordings  # noqa: E402, F401  (they register their queries)
