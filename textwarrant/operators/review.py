@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textwarrant.functions import fuzzy
 from textwarrant.operators import decision, entries
+from textwarrant.operators.retrieve import top_per_group
 from textwarrant.tables import materialize
 
 def most_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -63,6 +64,26 @@ def boosted(hits: DataFrame, by: str, group: str, factor: Column) -> DataFrame:
     return hits.withColumn("score", F.round(F.when(first.eqNullSafe(F.col(group)), F.col("score") * factor).otherwise(F.col("score")), 9))
 
 
+def keyword_check(hits: DataFrame, asked: DataFrame, headings: DataFrame, group: str, factor: Column, status: Column, by: str = "query_id", pool: int = 24, show: int = 3, least: float = 0.6) -> DataFrame:
+    """What a claim's best passages say of it, by its words alone: (``by``, n_shown, doc_id, status).
+
+    Of each claim's ``pool`` best ``hits`` (``by``, doc_id, score, share, and what ``factor``
+    and ``status`` read) those in the best one's ``group`` are raised. Of the first
+    ``show`` those are shown that hold ``least`` of the claim's words and share a word
+    of their heading with it; the first of these gives the status. ``asked`` is (``by``,
+    term) and ``headings`` (doc_id, term). A claim without a passage is
+    ``not_found``; equal scores go to the smaller doc_id.
+    """
+    top = top_per_group(hits, [by], "score", "doc_id", pool).drop("rank")
+    raised = top_per_group(boosted(top, by, group, factor), [by], "score", "doc_id", show)
+    held = raised.filter(F.col("share") >= least).select(by, "doc_id", "rank", status.alias("status"))
+    headed = held.select(by, "doc_id").join(headings.select("doc_id", "term"), "doc_id").join(asked.select(by, "term"), [by, "term"])
+    shown = held.join(headed, [by, "doc_id"], "left_semi").groupBy(by)
+    shown = shown.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "doc_id", "status")).alias("first"))
+    told = asked.select(by).distinct().join(shown, by, "left")
+    return told.select(by, F.coalesce("n", F.lit(0)).alias("n_shown"), "first.doc_id", F.when(F.col("n").isNull(), "not_found").otherwise(F.col("first.status")).alias("status"))
+
+
 def keeps_order(wanted: Column, held: Column) -> Column:
     """Whether ``held`` (words) has all of ``wanted`` in order: a fold that carries the last place."""
     ahead = lambda at, w: F.array_position(F.slice(held, at + 1, F.greatest(F.size(held) - at, F.lit(0))), w).cast("int")

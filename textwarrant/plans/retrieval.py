@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarrant.operators import retrieve
+from textwarrant.functions.text import normalize, words
+from textwarrant.operators import retrieve, review
 from textwarrant.plans.registry import query
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
 from textwarrant.tables import load_spread as load, materialize
@@ -97,13 +98,21 @@ def _field(name: str, share: float) -> str:
   from qt join {name}d d using (term), {name}n, {name} x, {name}l l where x.term = qt.term and l.doc_id = x.doc_id and df <= n * {share} group by all)"""
 
 
-@query(f"""with {FIELDS}, {_field('tf', 0.25)}, {_field('hf', 1.0)},
+TWO_FIELDS = f"""{FIELDS}, {_field('tf', 0.25)}, {_field('hf', 1.0)},
 j as (select coalesce(a.query_id, b.query_id) query_id, coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.score, 0) + 2.0 * coalesce(b.score, 0) score,
       len(list_distinct(list_concat(coalesce(a.held, []), coalesce(b.held, [])))) n from tfs a full join hfs b on a.query_id = b.query_id and a.doc_id = b.doc_id),
-s as (select query_id, doc_id, round(score * n / held, 9) score from j join q using (query_id))
+s as (select query_id, doc_id, round(score * n / held, 9) score, n / held share from j join q using (query_id))"""
+
+
+@query(f"""with {TWO_FIELDS}
 select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) where rank <= 5""")
 def two_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text and its heading, its first line here, which weighs double."""
+    return retrieve.top_per_group(two_fields(spark, sf_dir), ["query_id"], "score", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+
+
+def two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, score, share): every hit, and the share of the query's words that it holds."""
     docs = load(spark, sf_dir, "documents")
     asked = _query_terms(spark, sf_dir)
     held = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
@@ -123,8 +132,33 @@ def two_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = body_words.unionByName(head_words).distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     joined = body.join(head, ["query_id", "doc_id"], "full").join(shared, ["query_id", "doc_id"]).join(held, "query_id")
     score = (F.coalesce("body", F.lit(0.0)) + 2.0 * F.coalesce("head", F.lit(0.0))) * F.col("n") / F.col("held")
-    scored = joined.select("query_id", "doc_id", retrieve.rounded(score).alias("score"))
-    return retrieve.top_per_group(scored, ["query_id"], "score", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+    return joined.select("query_id", "doc_id", retrieve.rounded(score).alias("score"), (F.col("n") / F.col("held")).alias("share"))
+
+
+DENIAL = "(^|[^a-z])(not|no|nicht|pas)([^a-z]|$)"
+
+
+@query(f"""with {TWO_FIELDS},
+p as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from s) where r <= 24),
+g as (select p.*, text, source, first_value(source) over (partition by query_id order by score desc, doc_id) best from p join documents d using (doc_id)),
+b as (select query_id, doc_id, share, round(score * case when source is distinct from best then 1.0 else
+      (case when len({word_list("split_part(text, chr(10), 1)")}) <= 6 then 1.6 else 1.0 end)::double * (case when regexp_matches(lower(left(text, 400)), '{DENIAL}') then 1.25 else 1.0 end)::double end, 9) score from g),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from b qualify rank <= 3),
+f as (select query_id, count(*) n_shown, arg_min(doc_id, rank) doc_id from k where share >= 0.6 and exists (select 1 from hf join qt using (term) where hf.doc_id = k.doc_id and qt.query_id = k.query_id) group by query_id),
+l as (select doc_id, max(quality) quality from labels group by doc_id)
+select q.query_id, coalesce(n_shown, 0)::bigint as n_shown, f.doc_id, case when f.doc_id is null then 'not_found' when quality = 1 then 'reported' when quality = 0 then 'disputed' else 'found_no_marker' end as status
+from q left join f using (query_id) left join l on l.doc_id = f.doc_id""")
+def keyword_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the passages of a source say of a benchmark text by keywords: hits with a short first line or a denial near their start come first."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    quality = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    head = F.substring_index("text", "\n", 1)
+    found = materialize(two_fields(spark, sf_dir), "two-fields")
+    hits = retrieve.top_per_group(found, ["query_id"], "score", "doc_id", 24).drop("rank").join(docs, "doc_id").join(quality, "doc_id", "left")
+    short = F.when(F.size(words(normalize(head))) <= 6, 1.6).otherwise(1.0)
+    denies = F.when(F.lower(F.substring("text", 1, 400)).rlike(DENIAL), 1.25).otherwise(1.0)
+    status = F.when(F.col("quality") == 1, "reported").when(F.col("quality") == 0, "disputed").otherwise("found_no_marker")
+    return review.keyword_check(hits, _query_terms(spark, sf_dir), retrieve.terms(docs, "doc_id", head), "source", short * denies, status)
 
 
 @query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 100 = 0),
