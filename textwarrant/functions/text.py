@@ -46,7 +46,7 @@ def chunks(text: Column, size: int) -> Column:
     return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def _pieces(text: Column, find: Callable[[str], Iterable[tuple[int, int]]]) -> Column:
+def pieces(text: Column, find: Callable[[str], Iterable[tuple[int, int]]]) -> Column:
     """array<struct<text, start, end>> of the places that ``find`` tells; none for null.
 
     Spark has no function that tells where matches are, and a fold that carries
@@ -75,7 +75,7 @@ def sentence_spans(text: Column) -> Column:
                 yield at + lead, at + lead + len(body)
             at = stop
 
-    return _pieces(text, find)
+    return pieces(text, find)
 
 
 def token_spans(text: Column) -> Column:
@@ -83,6 +83,6 @@ def token_spans(text: Column) -> Column:
 
     What is punctuation only is no word.
     """
-    found = _pieces(text, lambda value: (m.span() for m in re.finditer(r"\S+", value)))
+    found = pieces(text, lambda value: (m.span() for m in re.finditer(r"\S+", value)))
     named = F.transform(found, lambda x: F.struct(x["text"].alias("text"), normalize(x["text"]).alias("norm"), x["start"].alias("start"), x["end"].alias("end")))
     return F.filter(named, lambda x: x["norm"] != "")

@@ -183,6 +183,17 @@ def monotone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.size("k").alias("n_accepted"), F.coalesce(F.element_at("k", F.when(F.size("k") > 0, F.lit(-1))), F.lit(0)).alias("last"))
 
 
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents where text is not null),
+n as (select doc_id, i, case when i % 4 = 3 then line else (i + 1) || ' - ' || line end line from l),
+p as (select doc_id, i, (sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1)::int as start, (sum(length(line) + 1) over (partition by doc_id) - 1)::int as size from n)
+select doc_id, (i + 1)::int as number, start, coalesce(lead(start) over (partition by doc_id order by i), size) as "end", '' as heading from p where i % 4 <> 3""")
+def numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are numbered, each fourth number lost, parted at the numbers."""
+    line = lambda x, i: F.when(i % 4 == 3, x).otherwise(F.concat((i + 1).cast("string"), F.lit(" - "), x))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return numbering.numbered_parts(docs, r"(?<![^\n])(\d{1,9}) - ")
+
+
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents),
 t as (select doc_id, i, trim(line) line, lead(i) over (partition by doc_id order by i) is not null followed from l where trim(line) <> ''),
 k as (select *, case when length(line) <= 90 and followed then case when line like '%:' or len(regexp_split_to_array(line, ' +')) > 6 then 'section' else 'entry' end else 'body' end kind from t),
