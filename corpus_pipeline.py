@@ -35,13 +35,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word Jaccard of 0.8 or more), that with the smallest id.
+    """One document of each group of near duplicates by SimHash, as ``op7`` links them: 4-word shingles, 4 bits; that with the smallest id.
 
     Of repeated rows one stays; a null id comes after all others; null and empty
-    texts are one group, as are all texts without words. Texts are compared
+    texts are one group, as are all texts without words. Texts are hashed
     whole, other columns stay as they are, and an empty table gives an empty one.
     """
-    return simhash.drop_similar(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
