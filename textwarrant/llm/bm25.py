@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarrant.tables import materialize
@@ -25,6 +25,8 @@ FREQUENT = 16
 LEAST_FREQUENT = 64
 #: Queries that one shard is held against at a time, and how many times more shards each round has.
 QUERIES_AT_ONCE = 256
+#: Postings of rare terms that are scored at a time; one query may have more.
+POSTINGS_AT_ONCE = 1_000_000
 ROUNDS = 8
 #: (query, term) pairs that are sent to all tasks at a time.
 QUERY_PAIRS = 1_000_000
@@ -132,9 +134,7 @@ class _Searcher:
         wanted = np.zeros((self.dense.shape[1], many))
         wanted[self.column[at[common]], query[common]] = weight[common]
         start, size = self.starts[at[~common]], self.starts[at[~common] + 1] - self.starts[at[~common]]
-        posting = _ranges(start, size)
-        cell = self.places[posting].astype(np.int64) * many + np.repeat(query[~common], size)
-        rare = np.bincount(cell, self.part[posting] * np.repeat(weight[~common], size), self.n * many).reshape(self.n, many)
+        rare = self._rare(query[~common], start, size, weight[~common], many)
         bound = self.most @ wanted + np.maximum.reduceat(rare, self.blocks, axis=0)
         score, top, least = np.zeros((self.n, many)), np.zeros((many, k)), np.maximum(least, 10.0**-DIGITS)
         for b in np.argsort(-bound.sum(axis=1), kind="stable"):
@@ -154,6 +154,22 @@ class _Searcher:
         rank = np.arange(len(asked)) - np.maximum.accumulate(np.where(first, np.arange(len(asked)), 0))
         return asked[rank < k], self.ids[place[rank < k]], value[rank < k]
 
+    def _rare(self, query: np.ndarray, start: np.ndarray, size: np.ndarray, weight: np.ndarray, many: int) -> np.ndarray:
+        """What the postings at ``start`` add to each document (rows) and query (columns), for some queries at a time.
+
+        The pairs are in order of their queries, so that a query's postings are summed in one go whatever stands beside it.
+        """
+        rare = np.zeros((self.n, many))
+        own = np.bincount(query, size, many)
+        group = (np.cumsum(own) - own) // POSTINGS_AT_ONCE
+        firsts = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(firsts, [*firsts[1:], many], strict=True):
+            pairs = slice(*np.searchsorted(query, [a, b]))
+            posting = _ranges(start[pairs], size[pairs])
+            cell = self.places[posting].astype(np.int64) * (b - a) + np.repeat(query[pairs] - a, size[pairs])
+            rare[:, a:b] = np.bincount(cell, self.part[posting] * np.repeat(weight[pairs], size[pairs]), self.n * (b - a)).reshape(self.n, b - a)
+        return rare
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ``k`` best documents of each query: query_id, rank, doc_id, score.
@@ -175,7 +191,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     is told if it is 1e-9 or more, the last digit that scores are rounded to. No documents or no queries find nothing.
     """
     spark = docs.sparkSession
-    index = materialize(build_index(docs, id_col, text_col), "bm25-index")
+    # a shard to a file: a reader makes all rows of a file one batch, and a task's documents may be many shards
+    index = materialize(build_index(docs, id_col, text_col), "bm25-index", rows_per_file=1)
     sizes = index.select(F.size("ids").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("length"))
     total = sizes.agg(F.sum("n"), F.sum("length")).first()
     n, mean = total[0] or 0, max(1, total[1] or 0) / max(1, total[0] or 0)
@@ -216,18 +233,24 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 least = {x["query_id"]: x["score"] for x in best.filter(F.col("rank") == k).select("query_id", "score").collect()}
             low, high = 0.0 if r == 0 else ROUNDS ** (r - rounds), ROUNDS ** (r + 1 - rounds)
             shards = index.filter((turn >= low) & (turn < high))
-            found = shards.mapInArrow(_against(spark, query, term, weight, least, k, mean), "query_id long, doc_id long, score double")
+            sent = _sent(spark, query, term, weight, least)
+            found = shards.mapInArrow(_against(sent, k, mean), "query_id long, doc_id long, score double")
             rows = found if best is None else found.unionByName(best.drop("rank"))
             best = materialize(merged(rows), "bm25-best")
+            sent.unpersist()
         done = best if done is None else done.unionByName(best)
     return done.select("query_id", "rank", "doc_id", "score")
 
 
-def _against(spark, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: dict[int, float], k: int, mean: float):
-    """A function for tasks that holds a block of queries against their shards."""
+def _sent(spark: SparkSession, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: dict[int, float]):
+    """A block of queries for all tasks: ids, where the terms of each begin, terms, weights and the least scores."""
     asked, first = np.unique(query, return_index=True)
     first = np.r_[first, len(query)]
-    sent = spark.sparkContext.broadcast((asked, first, term, weight, np.array([least.get(int(q), 0.0) for q in asked])))
+    return spark.sparkContext.broadcast((asked, first, term, weight, np.array([least.get(int(q), 0.0) for q in asked])))
+
+
+def _against(sent, k: int, mean: float):
+    """A function for tasks that holds a block of queries against their shards."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, first, term, weight, least = sent.value
