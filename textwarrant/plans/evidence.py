@@ -10,9 +10,9 @@ from textwarrant.functions.text import normalize, words
 from textwarrant.operators import evidence, match, retrieve
 from textwarrant.plans.matching import CONTAINED, RUNS
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of, jaccard_of
+from textwarrant.plans.retrieval import _posted, _query_terms, _tf, bm25_of, jaccard_of
 from textwarrant.plans.sql import BM25, JACCARD, TF, norm, word_list
-from textwarrant.tables import load_spread as load
+from textwarrant.tables import load_spread as load, materialize
 
 DROPPED = ["the", "and", "of"]
 SYNONYMS = {"that": ["which", "this"], "in": ["inside"], "is": ["was", "that"], "for": ["of"]}
@@ -67,8 +67,10 @@ best as (select *, row_number() over (partition by query_id order by round(share
 select query_id, doc_id, round(share, 2) as share, matched, cosine from best where rn = 1""")
 def nearest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest document of each passage among its best by keywords and by overlap; the cosine is that of word counts."""
-    tf = _tf(spark, sf_dir)
-    pairs = bm25_of(spark, sf_dir, tf).select("query_id", "doc_id").unionByName(jaccard_of(spark, sf_dir, tf).select("query_id", "doc_id")).distinct()
+    posted = _posted(spark, sf_dir)
+    tf = retrieve.each_term(posted)
+    pairs = bm25_of(spark, sf_dir, posted).select("query_id", "doc_id").unionByName(jaccard_of(spark, sf_dir, posted).select("query_id", "doc_id")).distinct()
+    pairs = materialize(pairs, "near-pairs")
     q = retrieve.terms(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text")).withColumnRenamed("tf", "qtf")
     norms = q.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf")).alias("qq"), F.count(F.lit(1)).alias("n_terms"))
     lengths = tf.groupBy("doc_id").agg(F.sum(F.col("tf").cast("long") * F.col("tf")).alias("dd"))

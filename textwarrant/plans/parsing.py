@@ -10,7 +10,7 @@ from textwarrant.functions.text import normalize, sentence_spans, token_spans, w
 from textwarrant.operators import match, retrieve, review, spans
 from textwarrant.plans.matching import RUNS, verbatim_runs
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import _query_terms, _tf
+from textwarrant.plans.retrieval import _posted, _query_terms
 from textwarrant.sources import resume
 from textwarrant.streaming import stateful
 from textwarrant.tables import delete_at_exit, fresh_path
@@ -65,7 +65,7 @@ def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage's most similar document of its ten by overlap."""
-    top = retrieve.jaccard_topk(_query_terms(spark, sf_dir), _tf(spark, sf_dir), 10).select("query_id", "doc_id")
+    top = retrieve.jaccard_best(_query_terms(spark, sf_dir), _posted(spark, sf_dir), 10).select("query_id", "doc_id")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), normalize(F.col("text")).alias("a"))
     docs = load(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("b"))
     return review.most_similar(top, items, docs, "query_id", "doc_id").select("query_id", "doc_id", "score")
@@ -74,9 +74,10 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ordered_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each passage's words, weighted by idf, that its best documents hold in order."""
-    tf = _tf(spark, sf_dir)
-    n = F.broadcast(tf.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")))
-    top = retrieve.jaccard_topk(_query_terms(spark, sf_dir), tf, 25).select("query_id", "doc_id")
+    posted = _posted(spark, sf_dir)
+    tf = retrieve.each_term(posted)
+    n = F.broadcast(posted.agg(F.count(F.lit(1)).alias("n")))
+    top = retrieve.jaccard_best(_query_terms(spark, sf_dir), posted, 25).select("query_id", "doc_id")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(words(normalize(F.col("text")))).alias("i", "term"))
     idf = items.join(retrieve.document_frequency(tf), "term", "left").join(n).select("query_id", "i", "term", retrieve.overlap_idf(F.col("n"), F.col("df")).alias("w"))
     quotes = idf.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "term", "w"))).alias("q"))

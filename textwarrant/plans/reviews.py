@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from textwarrant.functions.text import normalize, words
 from textwarrant.operators import retrieve, review, sequence
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import bm25_topk, jaccard_topk
-from textwarrant.tables import load_spread as load
+from textwarrant.plans.retrieval import _posted, bm25_of, bm25_topk, jaccard_of
+from textwarrant.tables import load_spread as load, materialize
 
 
 @query()
@@ -41,7 +41,9 @@ def head_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def review_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage: fused evidence, direct where two rankings found it, sorted by source and score."""
-    fused = retrieve.fuse([("keyword", 0.5, bm25_topk(spark, sf_dir)), ("overlap", 1.0, jaccard_topk(spark, sf_dir))], 10)
+    posted = _posted(spark, sf_dir)
+    fused = retrieve.fuse([("keyword", 0.5, bm25_of(spark, sf_dir, posted)), ("overlap", 1.0, jaccard_of(spark, sf_dir, posted))], 10)
+    fused = materialize(fused, "fused")
     docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src0", 1).otherwise(2).alias("level"))
     items = fused.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("item_id"), "level", F.col("found_by").contains("+").alias("direct"), "score")
     return review.evidence_card(items, "query_id").select("query_id", "item_id", "level", "direct", "score", "place")
@@ -51,6 +53,6 @@ def review_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ruling_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits with those of the best hit's source raised where their first line is short."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("head"))
-    hits = bm25_topk(spark, sf_dir).drop("rank").join(docs, "doc_id")
+    hits = materialize(bm25_topk(spark, sf_dir), "ruling-hits").drop("rank").join(docs, "doc_id")
     raised = review.boosted(hits, "query_id", "source", F.when(F.size(words(normalize(F.col("head")))) <= 6, 1.6).otherwise(1.0))
     return retrieve.top_per_group(raised, ["query_id"], "score", "doc_id", 5).select("query_id", "doc_id", "score", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarrant.functions.text import chunks
 from textwarrant.operators import retrieve, sequence
 from textwarrant.plans.registry import query
-from textwarrant.plans.retrieval import _query_terms, _tf, bm25_of
+from textwarrant.plans.retrieval import _posted, _query_terms, bm25_of
 from textwarrant.plans.sql import BM25, TF, word_list
 from textwarrant.tables import load_spread as load, materialize
 
@@ -63,10 +63,11 @@ su as (select st.query_id, st.doc_id, start, n, round(sum(weight), 9) weight fro
 be as (select *, row_number() over (partition by query_id, doc_id order by weight desc, start) rn from su)
 select query_id, be.doc_id, start::int as start, round(weight, 6) as weight, md5(array_to_string(w[start + 1:start + 45], ' ')) as excerpt_md5, start > 0 as more_before, start + 45 < len(w) as more_after from be join dw using (doc_id) where rn = 1""")
 def best_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _tf(spark, sf_dir)
+    posted = _posted(spark, sf_dir)
+    tf = retrieve.each_term(posted)
     asked = _query_terms(spark, sf_dir)
-    top = materialize(bm25_of(spark, sf_dir, tf).filter("rank <= 3").select("query_id", "doc_id"), "excerpt-pairs")
-    n = F.broadcast(tf.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")))
+    top = materialize(bm25_of(spark, sf_dir, posted).filter("rank <= 3").select("query_id", "doc_id"), "excerpt-pairs")
+    n = F.broadcast(posted.agg(F.count(F.lit(1)).alias("n")))
     idf = retrieve.document_frequency(tf).join(n).select("term", retrieve.bm25_idf(F.col("n"), F.col("df")).alias("weight"))
     hits = top.join(asked, "query_id").join(idf, "term")
     docs = load(spark, sf_dir, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi")
