@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarrant.functions.fuzzy import decomposed
-from textwarrant.operators.retrieve import K1, B, bm25_idf, rounded, top_per_group
+from textwarrant.operators.retrieve import Asked, best_of_texts, bm25_idf, bm25_part, rounded, top_per_group
 from textwarrant.tables import materialize
 
 #: The share of a quotation's weight from which its wording is the accepted one.
@@ -90,6 +93,18 @@ def _aligned(quote: Column, wording: Column, weights: Column) -> Column:
     return F.pandas_udf(of, "share double, missing array<string>")(quote, wording, weights)
 
 
+def _bm25(asked: Asked, texts: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """BM25 of wordings given as their words, in order."""
+    held = texts.column("wording")
+    text, _, pair = asked.met(held)
+    many = len(asked.query)
+    met, tf = np.unique(text * many + pair, return_counts=True)
+    text, pair = met // many, met % many
+    dl = pc.list_value_length(held).to_numpy()[text]
+    part = asked.weights["weight"][pair] * bm25_part(tf, dl, asked.weights["mean"][pair])
+    return asked.summed(text, pair, part, len(texts)), asked.summed(text, pair, None, len(texts))
+
+
 def match_quotations(quotes: DataFrame, wordings: DataFrame, floors: Mapping[str, float], k: int = 25, max_df_share: float = 0.2, by: Sequence[str] = ("quote_id", "lang")) -> DataFrame:
     """Each quotation's nearest accepted wording: ``by``, status, kind, text_id, share, missing, and the reference that is right.
 
@@ -104,13 +119,14 @@ def match_quotations(quotes: DataFrame, wordings: DataFrame, floors: Mapping[str
     telling word is missing and the reference given is right; else ``semantic_variant``.
     Equal shares go to the better rank, then the smaller text_id. Quotes of fewer than
     MATCHED_WORDS words, of null text, or that share no term with their index are baseless with a null
-    share. No wordings: all are.
+    share. No wordings: all are. A text_id names one wording; wordings are scored where they are
+    read, and only what can be among a quotation's ``k`` is a row.
     """
     by, index = list(by), ["kind", "lang"]
     held = materialize(wordings.select("text_id", "kind", "lang", "reference", letters_only(F.col("text")).alias("wording")), "wordings")
-    tf = held.select(*index, "text_id", F.size("wording").alias("dl"), F.explode("wording").alias("term")).groupBy(*index, "text_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = held.groupBy(*index).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("wording")).alias("mean"))
-    df = materialize(tf.groupBy(*index, "term").agg(F.count(F.lit(1)).alias("df")), "wording-terms")
+    df = held.select(*index, F.explode(F.array_distinct("wording")).alias("term")).groupBy(*index, "term").agg(F.count(F.lit(1)).alias("df"))
+    df = materialize(df, "wording-terms")
     stats = stats.join(df.groupBy(*index).agg(F.min("df").alias("rarest")), index)
 
     asked = quotes.select(*by, "hint", "given", letters_only(F.col("text")).alias("quote"))
@@ -118,10 +134,14 @@ def match_quotations(quotes: DataFrame, wordings: DataFrame, floors: Mapping[str
     placed = meets.select(*by, "kind", "n", "mean", "rarest", F.posexplode("quote").alias("at", "term")).join(df, [*index, "term"], "left")
     placed = placed.withColumn("weight", bm25_idf(F.col("n"), F.coalesce("df", "rarest")))
     placed = materialize(placed, "quote-terms")
+    # one name for a quotation and its index, by which it is asked
+    asks, name = F.to_json(F.struct(*by, "kind")), F.to_json(F.struct(*index))
     usable = placed.filter(F.col("df") <= F.col("n") * max_df_share).groupBy(*by, "kind", "term", "mean", "weight").agg(F.count(F.lit(1)).alias("times"))
-    part = F.col("times") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = usable.join(tf, [*index, "term"]).groupBy(*by, "kind", "text_id").agg(rounded(F.sum(part)).alias("score"))
-    near = top_per_group(scored, [*by, "kind"], "score", "text_id", k)
+    pairs = materialize(usable.select(asks.alias("asks"), "term", (F.col("times") * F.col("weight")).alias("weight"), "mean", name.alias("index")), "quote-weights")
+    found = best_of_texts(held.filter("text_id is not null").select("text_id", name.alias("index"), "wording"), pairs, _bm25, k, index="index")
+    keys = placed.select(asks.alias("asks"), *by, "kind").distinct()
+    scored = found.select("asks", "text_id", rounded(F.col("score")).alias("score")).join(keys, "asks").drop("asks")
+    near = materialize(top_per_group(scored, [*by, "kind"], "score", "text_id", k), "near-wordings")
 
     whole = placed.groupBy(*by, "kind").agg(F.sort_array(F.collect_list(F.struct("at", "term", "weight"))).alias("q"))
     pairs = near.join(whole, [*by, "kind"]).join(held.select("text_id", *index, "reference", "wording"), ["text_id", *index])
