@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarrant.functions import arabic
-from textwarrant.functions.text import let, token_spans, words
+from textwarrant.functions.text import TEXTS_AT_ONCE, let, normalize, token_pieces, with_norms, words
 
 # The marks of a quotation, the surest first.
 MARKS = [
@@ -69,7 +69,12 @@ def trimmed(text: Column) -> Column:
 
 def tokens(text: Column, normal: Callable[[Column], Column]) -> Column:
     """array<struct<norm, start, end>>: the words of a text that have a normal form, with their places."""
-    named = F.transform(token_spans(text), lambda t: F.struct(normal(t["text"]).alias("norm"), t["start"].alias("start"), t["end"].alias("end")))
+    return _named(with_norms(token_pieces(text)), normal)
+
+
+def _named(found: Column, normal: Callable[[Column], Column]) -> Column:
+    form = lambda t: t["norm"] if normal is normalize else normal(t["text"])
+    named = F.transform(found, lambda t: F.struct(form(t).alias("norm"), t["start"].alias("start"), t["end"].alias("end")))
     return F.filter(named, lambda t: t["norm"] != "")
 
 
@@ -131,11 +136,11 @@ def quoted_regions(rows: DataFrame, lexicon: Lexicon = ARABIC, normal: Callable[
 
     An attributed one of fewer than LEAST_WORDS words, or that meets a marked one, is none.
     """
-    marked = marked_regions(rows, text_col, lexicon, normal)
+    marked = _marked_regions(rows, text_col, lexicon, normal)
     part = lambda a, b: F.substr(F.col(text_col), a + 1, b - a)
     fields = ("start", "end", "text_start", "text_end", "kind", "text", "attributed")
     said = F.transform(
-        attributed_spans(F.col(text_col), tokens(F.col(text_col), normal), lexicon),
+        attributed_spans(F.col(text_col), _named(F.col("_tokens"), normal), lexicon),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["start"].alias("text_start"), s["end"].alias("text_end"), F.lit("attributed").alias("kind"), part(s["start"], s["end"]).alias("text"), F.lit(True).alias("attributed")),
     )
     marked = marked.withColumn("_said", said)
@@ -144,15 +149,18 @@ def quoted_regions(rows: DataFrame, lexicon: Lexicon = ARABIC, normal: Callable[
     both = F.concat(F.transform("regions", lambda r: F.struct(*[r[c].alias(c) for c in fields])), own)
     none = F.filter("regions", lambda r: F.lit(False))
     both = F.when(F.col(text_col).isNull(), F.transform(none, lambda r: F.struct(*[r[c].alias(c) for c in fields]))).otherwise(F.array_sort(both))
-    return marked.withColumn("regions", both).drop("_said")
+    return marked.withColumn("regions", both).drop("_said", "_tokens")
 
 
 def _marked(text: Column) -> Column:
     """All that stands in marks, of every kind; regions of different kinds may overlap."""
     kinds = [(rank, kind, re.compile(pattern, re.S)) for rank, (kind, pattern) in enumerate(MARKS)]
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[(rank, *m.span(), *m.span(1), kind, m[1]) for rank, kind, find in kinds for m in find.finditer(t)] if t else [] for t in texts], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                some = texts.iloc[at : at + TEXTS_AT_ONCE]
+                yield pd.Series([[(rank, *m.span(), *m.span(1), kind, m[1]) for rank, kind, find in kinds for m in find.finditer(t)] if t else [] for t in some], dtype=object)
 
     return F.pandas_udf(of, "array<struct<rank:int,start:int,end:int,text_start:int,text_end:int,kind:string,text:string>>")(text)
 
@@ -165,6 +173,11 @@ def marked_regions(rows: DataFrame, text_col: str = "text", lexicon: Lexicon = A
     attributed by its mark - braces only around a sentence - or by a word for
     the speaker just before it. A null or empty text has no regions.
     """
+    return _marked_regions(rows, text_col, lexicon, normal).drop("_tokens")
+
+
+def _marked_regions(rows: DataFrame, text_col: str, lexicon: Lexicon, normal: Callable[[Column], Column]) -> DataFrame:
+    """:func:`marked_regions` with the texts' pieces and their norms as ``_tokens``, for which Python reads a text once."""
     said = F.array(*[F.lit(w) for w in [*lexicon.speaker, *lexicon.context]])
 
     def counted(r: Column) -> Column:
@@ -175,15 +188,15 @@ def marked_regions(rows: DataFrame, text_col: str = "text", lexicon: Lexicon = A
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(r)))
 
     def told(r: Column) -> Column:
-        before = F.filter("_tokens", lambda t: t["end"] <= r["start"])
+        before = F.filter("_tokens", lambda t: (t["end"] <= r["start"]) & (t["norm"] != ""))
         last = F.slice(before, F.greatest(F.size(before) - (LOOKBACK - 1), F.lit(1)), LOOKBACK)
         by_word = F.exists(last, lambda t: F.array_contains(said, normal(t["text"])))
         by_mark = (r["kind"] == "quran") | ((r["kind"] == "curly_brace") & (r["n_words"] >= LEAST_IN_BRACES))
         return F.struct(*[r[c].alias(c) for c in ("rank", "start", "end", "text_start", "text_end", "kind", "text", "n_words")], (by_mark | by_word).alias("attributed"))
 
     kind = "array<struct<rank:int,start:int,end:int,text_start:int,text_end:int,kind:string,text:string,n_words:int>>"
-    held = rows.withColumns({"_marked": _marked(F.col(text_col)), "_tokens": token_spans(F.col(text_col))})
+    held = rows.withColumns({"_marked": _marked(F.col(text_col)), "_tokens": with_norms(token_pieces(F.col(text_col)))})
     long_enough = F.filter(F.transform("_marked", counted), lambda r: r["n_words"] >= LEAST_WORDS)
     kept = F.aggregate(F.array_sort(long_enough), F.array().cast(kind), apart)
     by_place = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    return held.withColumn("regions", F.transform(F.array_sort(kept, by_place), told)).drop("_marked", "_tokens")
+    return held.withColumn("regions", F.transform(F.array_sort(kept, by_place), told)).drop("_marked")

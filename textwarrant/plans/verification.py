@@ -66,5 +66,7 @@ def sentence_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked and attributed quotations in every whole document, in order."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = regions.quoted_regions(docs, RULES.lexicon, RULES.normal).select("doc_id", F.posexplode("regions").alias("no", "r"))
+    found = regions.quoted_regions(docs, RULES.lexicon, RULES.normal)
+    # a plain posexplode would work all regions out once more, to ask for their number
+    found = found.select("doc_id", F.posexplode_outer("regions").alias("no", "r")).filter("r is not null")
     return found.select("doc_id", "no", "r.start", "r.end", "r.kind", "r.attributed", F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
