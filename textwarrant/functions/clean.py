@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textwarrant.functions.text import let, words
+from textwarrant.functions.text import TEXTS_AT_ONCE, let, words
 
 # Marks over and under letters and the stretching sign; signs that turn the direction of writing.
 MARKS = r"[\x{064B}-\x{065F}\x{0670}\x{0640}]"
@@ -16,6 +17,8 @@ DIRECTION = r"[\x{200E}\x{200F}]"
 SECRETS = r"sk-[A-Za-z0-9_-]{6,}|AIza[0-9A-Za-z_-]{16,}|AQ\.[0-9A-Za-z_-]{16,}"
 # Letters written in more than one way.
 LIGHT = ("إأآٱىة", "اااايه")
+# Particles of one letter that are written as part of a word.
+PARTICLES = "وفبل"
 # What a grade is called, by the first pattern that its name holds, and what is said besides.
 GRADES = {
     "mawdu|fabricat": "موضوع", "batil": "باطل", "very da": "ضعيف جدًا", "munkar": "منكر", "shadh": "شاذ", "hasan sahih": "حسن صحيح",
@@ -106,16 +109,27 @@ def light_fold(text: Column) -> Column:
 
 def wording_score(quote: Column, text: Column) -> Column:
     """The share of a quote's words, of two letters or more, that a text holds, with or without a joined particle."""
-    wanted = F.filter(words(light_fold(quote)), lambda w: F.length(w) > 1)
+    return folded_score(light_fold(quote), light_fold(text))
 
-    def share(q: Column) -> Column:
-        def of(t: Column) -> Column:
-            held = lambda w: F.array_contains(t, w) | F.array_contains(t, F.regexp_replace(w, "^(و|ف|ب|ل|ال)", "")) | F.array_contains(t, F.concat(F.lit("ال"), w))
-            return F.size(F.filter(q, held)) / F.size(q)
 
-        return F.when(F.size(q) > 0, let(F.array_distinct(words(light_fold(text))), of)).otherwise(F.lit(0.0))
+def folded_score(quote: Column, text: Column) -> Column:
+    """:func:`wording_score` of texts that are folded already.
 
-    return let(wanted, share)
+    A null text holds no word. Spark looks a word up in an array from its beginning, which for two texts takes the product of their words.
+    """
+
+    def share(quote: str, held: set[str]) -> float:
+        wanted = [w for w in quote.split(" ") if len(w) > 1]
+        bare = lambda w: w[1:] if w[0] in PARTICLES else w.removeprefix("ال")
+        return sum(w in held or bare(w) in held or "ال" + w in held for w in wanted) / len(wanted) if wanted else 0.0
+
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for quotes, texts in batches:
+            for at in range(0, len(quotes), TEXTS_AT_ONCE):
+                pairs = zip(quotes.slice(at, TEXTS_AT_ONCE).to_pylist(), texts.slice(at, TEXTS_AT_ONCE).to_pylist(), strict=True)
+                yield pa.array([share(q or "", set((t or "").split(" ")) - {""}) for q, t in pairs], pa.float64())
+
+    return F.arrow_udf(of, "double")(quote, text)
 
 
 def best_slice(held: Column, quote: Column) -> Column:

@@ -68,8 +68,9 @@ w as (select doc_id, list_filter(string_split({FOLD % 'before'}, ' '), lambda x:
 select doc_id, round(case when len(q) = 0 then 0.0 else len(list_filter(q, lambda x: list_contains(t, x) or list_contains(t, regexp_replace(x, '^(و|ف|ب|ل|ال)', '')) or list_contains(t, 'ال' || x)))::double / len(q) end, 6) as score from w""")
 def wording_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each document's predecessor in its source that it holds."""
-    rows = sequence.with_predecessor(_texts(spark, sf_dir, "source"), "source", "doc_id")
-    return rows.select("doc_id", F.round(clean.wording_score(F.col("before"), F.col("text")), 6).alias("score"))
+    folded = _texts(spark, sf_dir, "source").withColumn("text", clean.light_fold(F.col("text")))
+    rows = sequence.with_predecessor(folded, "source", "doc_id")
+    return rows.select("doc_id", F.round(clean.folded_score(F.col("before"), F.col("text")), 6).alias("score"))
 
 
 @query(f"""with w as (select doc_id, {word_list('text')} h from documents where text is not null), q as (select doc_id, h, list_transform(h[5:12], lambda x, i: case when i % 3 = 0 then '?' else x end) q from w),
