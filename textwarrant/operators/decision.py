@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from textwarrant.functions import fuzzy
 from textwarrant.functions.clauses import marks_conflict
-from textwarrant.functions.text import let, normalize, words
+from textwarrant.functions.text import let, normalize, runs, words
 from textwarrant.operators import entries as held
 from textwarrant.operators import match, regions
+from textwarrant.operators.meeting import alike_in_length_and_words, estimated, runs_met
 from textwarrant.tables import materialize
 
 
@@ -37,18 +39,20 @@ class Rules(NamedTuple):
     lexicon: regions.Lexicon = regions.ARABIC
 
 
-class Corpus(NamedTuple):
-    """Entries (see ``entries.spelled``) and the weights of their words, each written once."""
+class Corpus:
+    """Entries (see ``entries.spelled``) and the weights of their words, each written once; weights when they are first asked for."""
 
-    entries: DataFrame
-    idf: DataFrame
-    sizes: DataFrame
+    def __init__(self, entries: DataFrame) -> None:
+        self.entries = entries
+        self._idf, self.sizes = held.word_weights(entries)
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        return materialize(self._idf, "corpus-idf")
 
 
 def corpus(entries: DataFrame) -> Corpus:
-    kept = materialize(entries, "corpus-entries")
-    idf, sizes = held.word_weights(kept)
-    return Corpus(kept, materialize(idf, "corpus-idf"), sizes)
+    return Corpus(materialize(entries, "corpus-entries"))
 
 
 def as_written(text: Column, normal: held.Normal) -> Column:
@@ -82,17 +86,19 @@ def verbatim(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: str
     segments. ``conflict`` says what of the writing differs all the same: the letters that the normal form
     makes alike, or marks, for which the first aligned window decides.
     """
-    hits = held.found_in(segments, over.entries, seg, rules.least_words)
-    gated = hits.filter(F.col("kind") == rules.gated).select(seg).distinct()
-    asked = segments.join(gated, seg, "left_semi")
-    passed = held.weighed(asked, over.idf, over.sizes, rules.gated, seg).filter(held.distinctive(F.col("weights"), rules.gate)).select(seg, F.lit(True).alias("passed"))
-    hits = hits.join(passed, seg, "left").filter((F.col("kind") != rules.gated) | F.col("passed"))
+    # hits are few, and carry their texts: segments are read once
+    hits = materialize(held.found_in(segments.select(seg, "text", "form"), over.entries, seg, rules.least_words), "verbatim-hits")
+    gated = hits.filter(F.col("kind") == rules.gated)
+    if not gated.isEmpty():
+        asked = gated.groupBy(seg).agg(F.first("form").alias("form"))
+        passed = held.weighed(asked, over.idf, over.sizes, rules.gated, seg).filter(held.distinctive(F.col("weights"), rules.gate)).select(seg, F.lit(True).alias("passed"))
+        hits = hits.join(passed, seg, "left").filter((F.col("kind") != rules.gated) | F.col("passed"))
     hits = hits.withColumn("stage", F.col("entry.rank") * 2 - F.col("full").cast("int"))
     tight = F.when((F.col("kind") == "window") & ~F.col("full"), F.col("entry.members")).otherwise(0)
     hits = hits.withColumn("tight", tight)
     order = Window.partitionBy(seg).orderBy("stage", "tight", "entry")
     first = hits.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy(seg, "stage", "tight")) - 1).withColumn("rn", F.row_number().over(order)).filter("rn = 1")
-    told = first.join(segments.select(seg, "text"), seg).join(over.entries.select("entry", F.col("text").alias("source")), "entry")
+    told = first.join(over.entries.select("entry", F.col("text").alias("source")), "entry")
     letters = F.lit(False)
     if rules.strict:
         spaced = lambda t: F.concat(F.lit(" "), rules.strict(t), F.lit(" "))
@@ -116,24 +122,26 @@ def most_alike(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: s
     size = lambda form: (F.length(form).alias("c"), F.size(words(form)).alias("w"))
     forms = held.each_form(over.entries).select(F.monotonically_increasing_id().alias("f"), "entry", "kind", "no", "form", *size(F.col("form")))
     forms = materialize(forms, "alike-forms")
-    segs = segments.select(F.monotonically_increasing_id().alias("n"), seg, "form", *size(F.col("form"))).filter(F.col("w") >= rules.least_words)
+    segs = segments.select(seg, "form", *size(F.col("form"))).filter(F.col("w") >= rules.least_words)
     # a segment that is too short for the shortest form, or too long for the longest, is like none
     ends = forms.agg(*[f(x).alias(f"{x}{i}") for x in ("c", "w") for i, f in enumerate((F.min, F.max))])
     near = lambda x: ratio(F.col(x), F.greatest(f"{x}0", F.least(f"{x}1", x)))
-    segs = materialize(segs.join(F.broadcast(ends)).filter((near("c") + near("w")) / 2 >= rules.variant).select("n", seg, "form", "c", "w"), "alike-segments")
-    counted = lambda rows, key: rows.select(key, "c", "w", F.explode(words(F.col("form"))).alias("term")).groupBy(key, "c", "w", "term").agg(F.count(F.lit(1)).alias("times"))
-    ours, theirs = counted(segs, "n"), counted(forms, "f").withColumnsRenamed({"c": "fc", "w": "fw", "times": "ftimes"})
-    met = ours.join(theirs, "term").filter((ratio(F.col("c"), F.col("fc")) + ratio(F.col("w"), F.col("fw"))) / 2 >= rules.variant)
-    met = met.groupBy("n", "f").agg(F.sum(F.least("times", "ftimes")).alias("common"), F.first(ratio(F.col("c"), F.col("fc"))).alias("lengths"), F.first(F.col("w") + F.col("fw")).alias("total"))
-    met = met.filter((F.col("lengths") + 2 * F.col("common") / F.col("total")) / 2 >= rules.variant)
-    pairs = met.select("n", "f").join(segs.select("n", seg, F.col("form").alias("a")), "n").join(forms.select("f", "entry", "kind", "no", F.col("form").alias("b")), "f")
+    segs = segs.join(F.broadcast(ends)).filter((near("c") + near("w")) / 2 >= rules.variant).select(seg, "form", "c", "w")
+    if estimated(segments) > estimated(forms):
+        pairs = alike_in_length_and_words(segs, forms, rules.variant).select(seg, F.col("form").alias("a"), "f")
+        pairs = pairs.join(forms.select("f", "entry", "kind", "no", F.col("form").alias("b")), "f")
+    else:
+        segs = materialize(segs.withColumn("f", F.monotonically_increasing_id()), "alike-segments")
+        pairs = alike_in_length_and_words(forms.select("entry", "kind", "no", "form", "c", "w"), segs, rules.variant)
+        pairs = pairs.select("f", "entry", "kind", "no", F.col("form").alias("b")).join(segs.select("f", seg, F.col("form").alias("a")), "f")
     # the alignments are made once, over all cores however few rows are left
     pairs = materialize(pairs.filter(fuzzy.similarity_bound(F.col("a"), F.col("b")) >= rules.variant), "alike-pairs")
     scored = pairs.withColumn("score", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6)).filter(F.col("score") >= rules.variant)
-    scored = materialize(scored.select(seg, "entry", "kind", "no", "b", "score"), "alike-scored")
-    asked = segs.select(seg, "form").join(scored.select(seg).distinct(), seg, "left_semi")
-    picked = held.candidates(asked, over.entries, over.idf, over.sizes, rules.quotas, seg).select(seg, "entry")
-    scored = scored.join(picked, [seg, "entry"])
+    scored = materialize(scored.select(seg, "entry", "kind", "no", "a", "b", "score"), "alike-scored")
+    if not scored.isEmpty():
+        asked = scored.groupBy(seg).agg(F.first("a").alias("form"))
+        picked = held.candidates(asked, over.entries, over.idf, over.sizes, rules.quotas, seg).select(seg, "entry")
+        scored = scored.join(picked, [seg, "entry"])
     best = scored.groupBy(seg).agg(F.min_by(F.struct("entry", "kind", F.col("b").alias("form"), "score"), F.struct(-F.col("score"), F.col("entry"), F.col("no"))).alias("best"))
     return best.select(seg, "best.*")
 
@@ -148,11 +156,14 @@ def quoted_runs(texts: DataFrame, over: Corpus, rules: Rules = Rules(), seg: str
     islands = materialize(match.verbatim_runs(refs, texts.select(seg, F.col("form").alias("text")), "ref", seg, rules.run_words), "runs")
     spans = islands.select(seg, F.col("ref.entry").alias("entry"), F.col("text_start").cast("int").alias("s"), (F.col("text_start") + F.col("n_words")).cast("int").alias("e")).distinct()
     gated = F.col("entry.rank") == F.lit(held.KINDS.index(rules.gated) + 1)
-    asked = texts.join(spans.filter(gated).select(seg).distinct(), seg, "left_semi")
-    weights = held.weighed(asked, over.idf, over.sizes, rules.gated, seg)
-    begins = F.filter(F.sequence(F.col("s"), F.col("e") - rules.run_words), lambda i: held.distinctive(F.slice("weights", i + 1, F.lit(rules.run_words)), rules.strict_gate))
-    fixed = spans.filter(gated).join(weights, seg).select(seg, "entry", F.explode(begins).alias("s"), "e", F.lit(True).alias("fixed"))
-    spans = materialize(spans.filter(~gated).withColumn("fixed", F.lit(False)).unionByName(fixed), "runs-open")
+    free = spans.filter(~gated).withColumn("fixed", F.lit(False))
+    if not spans.filter(gated).isEmpty():
+        asked = texts.join(spans.filter(gated).select(seg).distinct(), seg, "left_semi")
+        weights = held.weighed(asked, over.idf, over.sizes, rules.gated, seg)
+        begins = F.filter(F.sequence(F.col("s"), F.col("e") - rules.run_words), lambda i: held.distinctive(F.slice("weights", i + 1, F.lit(rules.run_words)), rules.strict_gate))
+        fixed = spans.filter(gated).join(weights, seg).select(seg, "entry", F.explode(begins).alias("s"), "e", F.lit(True).alias("fixed"))
+        free = free.unionByName(fixed)
+    spans = materialize(free, "runs-open")
     rows = spans.groupBy(seg).agg(F.sort_array(F.collect_set(F.struct("s", "e", "fixed"))).alias("spans"))
     kind = "array<struct<s:int,e:int>>"
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
@@ -192,8 +203,8 @@ def decide(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: str =
     alike = materialize(
         alike.select(seg, F.lit("variant").alias("status"), F.lit("altered").alias("how"), "entry", F.lit(0).cast("long").alias("others"), F.round("score", 2).alias("confidence"), fuzzy.word_differences(words(F.col("own")), words(F.col("form"))).alias("differences")), "decided-alike"
     )
-    rest = materialize(rest.join(alike.select(seg), seg, "left_anti"), "undecided")
-    parts = quoted_runs(rest, over, rules, seg)
+    rest = rest.join(alike.select(seg), seg, "left_anti")
+    parts = materialize(quoted_runs(rest, over, rules, seg), "decided-parts")
     told = parts.groupBy(seg).agg(F.sum("n_words").alias("covered"), F.min_by("entry", F.struct(-F.col("n_words"), F.col("start"))).alias("entry"), F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("runs"))
     told = told.join(rest.select(seg, words(F.col("form")).alias("w")), seg)
     built = told.select(seg, F.lit("variant").alias("status"), F.lit("parts").alias("how"), "entry", F.lit(0).cast("long").alias("others"), F.round(F.col("covered") / F.size("w"), 2).alias("confidence"), stretches(F.col("w"), F.col("runs")).alias("differences"))
@@ -229,26 +240,37 @@ def review(sentences: DataFrame, over: Corpus, rules: Rules = Rules()) -> DataFr
     If these leave no region and cover ``whole_from`` of the sentence, or there are none, the sentence
     is told whole, by the decision that also looks for parts.
     """
-    sents = materialize(sentences.select("seg", "text"), "reviewed")
-    regs = regions.quoted_regions(sents, rules.lexicon, rules.normal).select("seg", F.posexplode("regions").alias("no", "r"))
-    regs = regs.select("seg", "no", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "r.attributed", regions.trimmed(F.col("r.text")).alias("text")).filter("text <> ''")
-    regs = materialize(regs, "review-regions")
-    key = lambda no: F.struct(F.col("seg").alias("seg"), no.cast("int").alias("no"))
-    asked = sents.select(key(F.lit(-1)).alias("key"), "text").unionByName(regs.select(key(F.col("no")).alias("key"), "text"))
-    decided = materialize(decide(asked, over, rules, "key"), "review-decided")
-    own = decided.filter("key.no = -1").select(F.col("key.seg").alias("seg"), *[c for c in decided.columns if c != "key"])
     n_words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    sized = sents.select("seg", n_words.alias("n"), F.length("text").alias("length"))
-    open_ = own.filter("status <> 'verified'").join(sized, "seg")
-
-    found = regs.withColumn("key", key(F.col("no"))).join(decided, "key").filter("attributed or status <> 'baseless'")
-    found = found.join(open_.select("seg"), "seg", "left_semi")
-    found = found.select("seg", "start", "stop", F.lit("region").alias("found"), *[c for c in decided.columns if c != "key"])
+    marked = F.transform("regions", lambda r, i: F.struct(i.alias("no"), r["start"].alias("start"), r["end"].alias("stop"), r["attributed"].alias("attributed"), regions.trimmed(r["text"]).alias("text")))
+    sents = regions.quoted_regions(sentences.select("seg", "text"), rules.lexicon, rules.normal)
+    sents = sents.select("seg", "text", n_words.alias("n"), F.length("text").alias("length"), F.filter(marked, lambda r: r["text"] != "").alias("marked"))
+    sents = materialize(sents, "reviewed")
+    # keys carry what is told of a sentence or region, so that decisions don't have to meet the sentences again
+    key = lambda **of: F.struct(F.col("seg"), *[c.cast("boolean" if name == "attributed" else "int").alias(name) for name, c in of.items()]).alias("key")
+    whole = sents.select(key(no=F.lit(-1), start=F.lit(0), stop=F.col("length"), n=F.col("n"), attributed=F.lit(False)), "text")
+    regs = sents.select("seg", F.explode_outer("marked").alias("r")).filter("r is not null")
+    regs = regs.select(key(no=F.col("r.no"), start=F.col("r.start"), stop=F.col("r.stop"), n=F.lit(0), attributed=F.col("r.attributed")), F.col("r.text").alias("text"))
+    decided = materialize(decide(whole.unionByName(regs), over, rules, "key"), "review-decided")
+    columns = [c for c in decided.columns if c != "key"]
+    own = decided.filter("key.no = -1").select("key.seg", "key.n", F.col("key.stop").alias("stop"), *columns)
+    # few sentences are like an entry: what is left of the others is told by what these leave
+    like = materialize(own.filter("status <> 'baseless'").select("seg", "n", "status", "how"), "review-like")
+    verified = F.col("status") == "verified"
+
+    found = decided.filter("key.no >= 0 and (key.attributed or status <> 'baseless')").select("key.seg", "key.start", "key.stop", F.lit("region").alias("found"), *columns)
+    found = found.join(like.filter(verified).select("seg"), "seg", "left_anti")
     # stretches are looked for between the regions, where the sentence is long or like none
-    searched = open_.filter((F.col("n") > rules.long_sentence) | F.col("status").isin("baseless") | (F.col("how") == "parts")).select("seg")
-    spans = regs.groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("marked"))
+    passed = like.filter(verified | ~((F.col("n") > rules.long_sentence) | (F.col("how") == "parts"))).select("seg")
+    searched = sents.join(passed, "seg", "left_anti")
+    forms = held.each_form(over.entries).select("form")
+    if estimated(sents) > estimated(forms):
+        # a stretch between regions is one of the sentence: only sentences that have any are looked at closely
+        grams = forms.select(F.explode(runs(words(F.col("form")), rules.run_words)).alias("gram"))
+        rows = searched.select("seg", F.array_join(F.transform(regions.tokens(F.col("text"), rules.normal), lambda t: t["norm"]), " ").alias("form"))
+        met = materialize(runs_met(rows, grams, rules.run_words).select("seg").distinct(), "review-met")
+        searched = materialize(searched.join(met, "seg", "left_semi"), "review-searched")
     # places come from Python, which counts code points as Spark does
-    tokens = sents.join(searched, "seg").join(spans, "seg", "left").select("seg", regions.tokens(F.col("text"), rules.normal).alias("tokens"), F.coalesce("marked", F.array().cast("array<struct<start:int,stop:int>>")).alias("marked"))
+    tokens = searched.select("seg", regions.tokens(F.col("text"), rules.normal).alias("tokens"), "marked")
     # a stretch ends where a region stands in between: words are numbered over all, and regions leave gaps
     numbered = tokens.select("seg", F.explode(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), F.exists("marked", lambda m: (m["start"] <= t["start"]) & (t["start"] < m["stop"])).alias("inside"), t.alias("t")))).alias("x")).select("seg", "x.*").filter("not inside")
     line = Window.partitionBy("seg").orderBy("i")
@@ -258,16 +280,17 @@ def review(sentences: DataFrame, over: Corpus, rules: Rules = Rules()) -> DataFr
     texts = materialize(texts.withColumn("form", F.array_join(F.transform("ts", lambda t: t["norm"]), " ")), "review-pieces")
     ran = quoted_runs(texts.select("piece", "form"), over, rules, "piece").join(texts.select("piece", "ts"), "piece")
     first, last = F.get("ts", F.col("start")), F.get("ts", F.col("start") + F.col("n_words") - 1)
-    ran = ran.select(F.col("piece.seg").alias("seg"), first["start"].alias("start"), last["end"].alias("stop"), "n_words").join(sents, "seg")
+    ran = ran.select(F.col("piece.seg").alias("seg"), first["start"].alias("start"), last["end"].alias("stop")).join(searched.select("seg", "n", "text"), "seg")
     ran = ran.withColumn("text", regions.trimmed(F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start"))))
-    ran = materialize(ran.select(F.struct("seg", "start", "stop").alias("key"), n_words.alias("n_words"), "text", rules.normal(F.col("text")).alias("form")), "review-runs")
+    ran = materialize(ran.select(F.struct("seg", "start", "stop", "n").alias("key"), n_words.alias("n_words"), "text", rules.normal(F.col("text")).alias("form")), "review-runs")
     same = verbatim(ran, over, rules, "key").filter("conflict is null")
-    ran = same.join(ran.select("key", "n_words"), "key").select("key.*", F.lit("run").alias("found"), F.lit("verified").alias("status"), "how", "entry", F.col("others").cast("long").alias("others"), F.lit(1.0).alias("confidence"), F.array().cast(_NONE).alias("differences"), "n_words")
-    both = materialize(found.withColumn("n_words", F.lit(None).cast("int")).unionByName(ran.withColumn("n_words", F.col("n_words").cast("int"))), "review-found")
-
-    counted = both.groupBy("seg").agg(F.bool_or(F.col("found") == "region").alias("marked"), F.sum("n_words").alias("covered")).join(sized, "seg")
-    around = counted.filter(F.col("marked") | (F.col("covered") / F.col("n") < rules.whole_from)).select("seg")
-    parts = both.drop("n_words").join(around, "seg", "left_semi")
-    rest = own.join(around, "seg", "left_anti").join(sized.select("seg", F.col("length").alias("stop")), "seg")
+    ran = same.join(ran.select("key", "n_words"), "key").select("key.*", F.lit("run").alias("found"), F.lit("verified").alias("status"), "how", "entry", F.col("others").cast("long").alias("others"), F.lit(1.0).alias("confidence"), F.array().cast(_NONE).alias("differences"), F.col("n_words").cast("int").alias("n_words"))
+    none = F.lit(None).cast("int")
+    both = materialize(found.withColumns({"n": none, "n_words": none}).unionByName(ran), "review-found")
+
+    counted = both.groupBy("seg").agg(F.bool_or(F.col("found") == "region").alias("regions"), F.sum("n_words").alias("covered"), F.max("n").alias("n"))
+    around = materialize(counted.filter(F.col("regions") | (F.col("covered") / F.col("n") < rules.whole_from)).select("seg"), "review-around")
+    parts = both.drop("n", "n_words").join(around, "seg", "left_semi")
+    rest = own.drop("n").join(around, "seg", "left_anti")
     whole = rest.withColumns({"start": F.lit(0), "found": F.lit("sentence")}).select(*parts.columns)
     return whole.unionByName(parts)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarrant.functions.text import let, normalize, runs, words
+from textwarrant.operators.meeting import estimated, runs_met
 
 Normal = Callable[[Column], Column]
 #: Kinds of entries, those to be named first before the others.
@@ -66,22 +67,29 @@ def each_form(entries: DataFrame) -> DataFrame:
 
 
 def found_in(segments: DataFrame, entries: DataFrame, seg: str = "seg", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(seg, entry, kind, full): entries of which a form is the segment's, or holds it as consecutive whole words; each entry once.
+    """(seg's columns, entry, kind, full): entries of which a form is the segment's, or holds it as consecutive whole words; each entry once.
 
-    ``segments`` has seg and form. Whole forms meet as such. The first words of
-    a segment meet the runs of as many words of all forms of an entry; what
-    meets is then compared in full, and a segment of fewer words is part of nothing.
+    ``segments`` has seg, form and what else is wanted of the hits; they are read once. The first words of a
+    segment meet the runs of as many words of all forms of an entry; a segment of
+    fewer words meets whole forms and is part of nothing. What meets is then compared in full.
     """
-    asked = segments.select(seg, "form").filter("form <> ''")
-    whole = asked.join(each_form(entries), "form").select(seg, "entry", "kind", F.lit(True).alias("full"))
+    asked = segments.filter("form <> ''")
+    long_ = lambda f: F.size(words(f)) >= least_words
     seed = F.array_join(F.slice(words(F.col("form")), 1, least_words), " ")
-    seeds = asked.filter(F.size(words(F.col("form"))) >= least_words).select(seg, "form", seed.alias("seed"))
-    keys = F.array_distinct(F.flatten(F.transform("forms", lambda f: runs(words(f), least_words))))
-    met = entries.select("entry", F.explode(keys).alias("seed")).join(seeds, "seed").select(seg, "form", "entry")
+    asked = asked.select("*", F.when(long_(F.col("form")), seed).otherwise(F.col("form")).alias("seed"))
+    if estimated(asked) > estimated(entries):
+        keys = F.flatten(F.transform("forms", lambda f: F.when(long_(f), runs(words(f), least_words)).otherwise(F.array(f))))
+        met = entries.select("entry", F.explode(F.array_distinct(keys)).alias("seed"))
+    else:
+        each = each_form(entries).select("entry", "form")
+        short = each.filter(~long_(F.col("form"))).select("entry", F.col("form").alias("seed"))
+        wanted = asked.filter(long_(F.col("form"))).select(F.col("seed").alias("gram"))
+        met = runs_met(each, wanted, least_words).select("entry", F.col("gram").alias("seed")).distinct().unionByName(short)
+    met = asked.join(met.distinct(), "seed").drop("seed").join(entries.select("entry", "kind", "forms"), "entry")
     spaced = lambda f: F.concat(F.lit(" "), f, F.lit(" "))
-    held = met.join(entries.select("entry", "kind", "forms"), "entry").filter(F.exists("forms", lambda f: spaced(f).contains(spaced(F.col("form")))))
-    part = held.select(seg, "entry", "kind", F.lit(False).alias("full"))
-    return whole.unionByName(part).groupBy(seg, "entry", "kind").agg(F.bool_or("full").alias("full"))
+    met = met.withColumn("full", F.array_contains("forms", F.col("form")))
+    met = met.filter(F.col("full") | (long_(F.col("form")) & F.exists("forms", lambda f: spaced(f).contains(spaced(F.col("form"))))))
+    return met.select(*segments.columns, "entry", "kind", "full")
 
 
 def word_weights(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

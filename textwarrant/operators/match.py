@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarrant.functions.text import normalize, runs, words
+from textwarrant.operators.meeting import estimated, runs_met
 
 SEED_WORDS = 3
 
@@ -72,15 +73,25 @@ def cascade(stages: list[DataFrame], by: str) -> DataFrame:
 def verbatim_runs(refs: DataFrame, texts: DataFrame, ref_id: str, text_id: str, min_words: int = 4) -> DataFrame:
     """Maximal runs of at least ``min_words`` words that a text shares with a reference.
 
-    Runs of ``min_words`` words meet in an equi-join; meetings next to each other
+    Runs of ``min_words`` words meet in an equi-join; of the larger side only runs
+    are rows that the smaller has. Meetings next to each other
     on one diagonal (place in the text less place in the reference) are islands.
     Returns ref_id, text_id, text_start, ref_start and n_words, places from 0.
     """
 
-    def grams(df: DataFrame, key: str, place: str) -> DataFrame:
-        return df.select(key, F.posexplode(runs(words(normalize(F.col("text"))), min_words)).alias(place, "gram"))
-
-    met = grams(texts, text_id, "i").join(grams(refs, ref_id, "j"), "gram")
+    def grams(df: DataFrame, key: str, place: str, wanted: DataFrame | None = None) -> DataFrame:
+        rows = df.select(key, normalize(F.col("text")).alias("form"))
+        if wanted is not None:
+            return runs_met(rows, wanted, min_words).withColumnRenamed("i", place)
+        return rows.select(key, F.posexplode(runs(words(F.col("form")), min_words)).alias(place, "gram"))
+
+    if estimated(texts) > estimated(refs):
+        ref_runs = grams(refs, ref_id, "j")
+        text_runs = grams(texts, text_id, "i", ref_runs)
+    else:
+        text_runs = grams(texts, text_id, "i")
+        ref_runs = grams(refs, ref_id, "j", text_runs)
+    met = text_runs.join(ref_runs, "gram")
     line = Window.partitionBy(text_id, ref_id, F.col("i") - F.col("j")).orderBy("i")
     met = met.withColumn("island", F.col("i") - F.row_number().over(line))
     islands = met.groupBy(text_id, ref_id, (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("text_start"), F.min("j").alias("ref_start"), F.count(F.lit(1)).alias("n"))

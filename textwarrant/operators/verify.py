@@ -11,8 +11,10 @@ from textwarrant.operators import decision
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(seg, id, no, text, n): the sentences of each text that have words."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(sentence_spans(F.col(text_col))).alias("no", "s"))
+    # a letter, digit or underscore is a word, which is told sooner than by the normal form
+    rows = rows.filter(F.col("s.text").rlike(r"[\p{L}\p{N}_]"))
     rows = rows.select("id", "no", F.col("s.text").alias("text"), F.size(words(normalize(F.col("s.text")))).alias("n"))
-    return rows.filter("n > 0").select(F.struct("id", "no").alias("seg"), "id", "no", "text", "n")
+    return rows.select(F.struct("id", "no").alias("seg"), "id", "no", "text", "n")
 
 
 def first_source(sentences_: DataFrame, over: decision.Corpus, rules: decision.Rules = decision.Rules()) -> DataFrame:
