@@ -28,10 +28,8 @@ LEXICON = 400_000
 LONG_WORD = 64
 #: Characters of a plan's description: the driver keeps one of each run, and the rank map alone has millions.
 PLAN_TEXT = 100_000
-#: Above any id, and a mask for differences of cells; EMPTY belongs to no left id.
+#: Above any id.
 IDS = 1 << 24
-MASK = (1 << 52) - 1
-EMPTY = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,40 +38,76 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _last_split(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The two ids that the merges make of a token's bytes before they make the token; None if they never do."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        found = [(rank, i) for i in range(len(parts) - 1) if (rank := ranks.get(parts[i] + parts[i + 1])) is not None]
+        if not found:
+            return None
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return ranks[parts[0]], ranks[parts[1]]
+
+
 def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
-    """left id * IDS + right id -> id of the token that the two make together."""
+    """left id * IDS + right id -> id of the token that the two make together, one pair for each token.
+
+    While nothing is merged across a token's ends, its bytes are merged as if they
+    stood alone, so that no other two parts of it ever stand side by side.
+    """
     table = {}
     for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                table[left * IDS + right] = rank
+        if len(token) > 1 and (split := _last_split(token, ranks)):
+            table[split[0] * IDS + split[1]] = rank
     return table
 
 
-def _displaced(table: dict[int, int], ids: int) -> tuple[list[int], list[int]]:
-    """The merge table in two flat arrays: cell[start[left] + right] = left * IDS + merged.
+class Cells(NamedTuple):
+    """The merge table in two flat arrays, and the bits of an id in them; ``end`` is an id of no token."""
+
+    start: list[int]
+    cell: list[int]
+    bits: int
+    end: int
+
+
+def displaced(table: dict[int, int], ids: int) -> Cells:
+    """cell[start[left] + right] = left, merged and 0, of ``bits`` bits each.
 
     The rows of the sparse table, longest first, lie over one another where their
     filled cells leave gaps, at places drawn until one fits; a cell says whose it
-    is. The arrays have some seven cells an id, of which two are filled.
+    is. There are three cells an id, of which one is filled.
     """
+    bits = (ids + 1).bit_length()
+    if 3 * bits + 1 > 63:
+        raise ValueError(f"{ids} ids are too many: three must fit a long")
     rows: dict[int, list[int]] = {}
     for pair in table:
         rows.setdefault(pair // IDS, []).append(pair % IDS)
-    start, cell = np.zeros(ids, np.int64), np.full(7 * ids, EMPTY, np.int64)
+    empty = ((1 << bits) - 1) << 2 * bits
+    start, cell = np.zeros(ids + 1, np.int64), np.full(3 * ids + 2, empty, np.int64)
     draw = np.random.default_rng(0)
     for left, rights in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         at = np.array(rights)
-        place = next(p for p in iter(lambda: int(draw.integers(0, len(cell) - ids)), None) if (cell[p + at] == EMPTY).all())
+        place = next(p for p in iter(lambda: int(draw.integers(0, len(cell) - ids)), None) if (cell[p + at] == empty).all())
         start[left] = place
-        cell[place + at] = [left * IDS + table[left * IDS + r] for r in rights]
-    return start.tolist(), cell.tolist()
+        cell[place + at] = [(left << 2 * bits) + (table[left * IDS + r] << bits) for r in rights]
+    return Cells(start.tolist(), cell.tolist(), bits, ids)
 
 
-def rank_literals(model: Model) -> tuple[Column, Column]:
-    """The merge table as two literal arrays."""
-    return F.from_json(F.lit(model.start), "array<int>"), F.from_json(F.lit(model.cells), "array<bigint>")
+class Literals(NamedTuple):
+    """The merge table as two literal arrays, the bits of an id and the id of an end."""
+
+    start: Column
+    cells: Column
+    bits: int
+    end: int
+
+
+def rank_literals(model: Model) -> Literals:
+    """The merge table as literals."""
+    return Literals(F.from_json(F.lit(model.start), "array<bigint>"), F.from_json(F.lit(model.cells), "array<bigint>"), model.bits, model.ids)
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -81,29 +115,40 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def fold_merges(word: Column, literals: tuple[Column, Column]) -> Column:
-    """The ids (array<bigint>) of a word given as the ids of its bytes, array<bigint>.
+def fold_merges(word: Column, literals: Literals) -> Column:
+    """The ids (array<int>) of a word given as the ids of its bytes, array<bigint>.
 
-    Each round merges the leftmost pair of the lowest rank; a word of n bytes
+    An id carries the rank of its pair with the next one, so that a round looks
+    up two pairs and no more. Each merges the leftmost pair of the lowest rank; a word of n bytes
     has n - 1 rounds at most, and rounds after the last merge do nothing.
     """
-    start, cells = literals
+    bits, low_bits, end = literals.bits, F.lit((1 << literals.bits) - 1).cast("long"), F.lit(literals.end).cast("long")
+    merges = F.lit(1 << 2 * bits)
+
+    def paired(a: Column, b: Column) -> Column:
+        """The merged id before the id of a; ``merges`` or more where the two don't merge."""
+        cell = F.get(literals.cells, F.get(literals.start, a) + b) - F.shiftleft(a, 2 * bits)
+        return cell.bitwiseAND(F.lit((1 << 3 * bits + 1) - 1)).bitwiseOR(a)
 
-    def rank(a: Column, b: Column) -> Column:
-        """The merged id; IDS or more where the two don't merge."""
-        return (F.get(cells, F.get(start, a) + b) - a * F.lit(IDS)).bitwiseAND(F.lit(MASK))
+    def at(ids: Column, i: Column) -> Column:
+        return F.coalesce(F.get(ids, i).bitwiseAND(low_bits), end)
 
-    def merged(ids: Column) -> Column:
-        # rank and place in one number, so that the least is the leftmost of the lowest rank
-        pairs = F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), 8) + i)
-        return _let(F.array_min(pairs), lambda low: F.when(F.shiftright(low, 8) < IDS, joined(ids, low)).otherwise(ids))
+    def _if(holds: Column, then: Column, otherwise: Column) -> Column:
+        return F.call_function("if", holds, then, otherwise)
 
-    def joined(ids: Column, low: Column) -> Column:
-        at = low.bitwiseAND(F.lit(255)).cast("int")
-        return F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(low, 8)), F.slice(ids, at + 3, F.size(ids)))
+    def merged(pairs: Column) -> Column:
+        # two pairs of one rank are the same pair, so the least one's first place is the leftmost of the lowest rank
+        return _let(F.array_min(pairs), lambda low: F.when(low < merges, _let(F.array_position(pairs, low).cast("int"), lambda place: joined(pairs, low, place))).otherwise(pairs))
 
+    def joined(pairs: Column, low: Column, place: Column) -> Column:
+        # the place counts from 1, and so is that of the id which goes from 0
+        new = F.shiftright(low, bits)
+        one = lambda x, i: _if(i == place - F.lit(1), paired(new, at(pairs, place + F.lit(1))), _if(i == place - F.lit(2), paired(x.bitwiseAND(low_bits), new), x))
+        return F.filter(F.transform(pairs, lambda x, i: _if(i >= place, x, one(x, i))), lambda _, i: i != place)
+
+    first = F.transform(word, lambda a, i: paired(a, at(word, i + F.lit(1))))
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, word, lambda ids, _: F.when(F.size(ids) > 1, merged(ids)).otherwise(ids))
+    return F.transform(F.aggregate(rounds, first, lambda pairs, _: merged(pairs)), lambda x: x.bitwiseAND(low_bits).cast("int"))
 
 
 def heap_merges(ids: list[int], table: dict[int, int]) -> list[int]:
@@ -146,11 +191,13 @@ def _word_rows(texts: DataFrame, pattern: str) -> DataFrame:
 class Model(NamedTuple):
     """What a rank file says: its merges, the tokens taken whole, the ids of the bytes, and the merge table as JSON."""
 
-    table: dict[int, int]
+    pairs: np.ndarray
+    merged: np.ndarray
     whole: dict[bytes, int]
     byte_ids: list[int]
     start: str
     cells: str
+    bits: int
     ids: int
 
 
@@ -159,9 +206,12 @@ def read_model(path: str) -> Model:
     """Made once in a process for each path."""
     ranks = read_ranks(path)
     table = merge_table(ranks)
-    start, cells = _displaced(table, max(ranks.values()) + 1)
-    whole = {t: ranks[t] for t in _unmerged(ranks, table)}
-    return Model(table, whole, [ranks[bytes([b])] for b in range(256)], json.dumps(start), json.dumps(cells), max(ranks.values()) + 1)
+    cells = displaced(table, max(ranks.values()) + 1)
+    reached = set(table.values())
+    # as whole words, tokens that their own bytes' merges don't reach are taken as they are
+    whole = {t: r for t, r in ranks.items() if len(t) > 1 and r not in reached}
+    pairs = np.fromiter(table, np.int64, len(table)), np.fromiter(table.values(), np.int32, len(table))
+    return Model(*pairs, whole, [ranks[bytes([b])] for b in range(256)], json.dumps(cells.start), json.dumps(cells.cell), cells.bits, cells.end)
 
 
 def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_col: str, id_col: str) -> pa.RecordBatch:
@@ -178,7 +228,7 @@ def lexicon(docs: DataFrame, pattern: str, fold, byte_ids: Sequence[int], text_c
     of_byte = F.array(*[F.lit(int(i)).cast("long") for i in byte_ids])
     raw = F.hex(F.col("word").cast("binary"))
     unit = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(of_byte, F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-    found = words.repartition(32).select("word", fold(unit).cast("array<int>").alias("ids")).toArrow().combine_chunks()
+    found = words.repartition(32).select("word", fold(unit).alias("ids")).toArrow().combine_chunks()
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
     return pa.RecordBatch.from_arrays(columns, names=found.column_names)
 
@@ -216,8 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     literals = rank_literals(model)
     fold = lambda w: fold_merges(w, literals)
     frequent = lexicon(docs, pattern, fold, byte_ids, text_col, key)
-    pairs = np.fromiter(model.table, np.int64, len(model.table)), np.fromiter(model.table.values(), np.int32, len(model.table))
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, *pairs))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, model.pairs, model.merged))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -283,7 +332,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
         return F.flatten(F.transform(places, lambda p: F.get(words, p)))
 
     held = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text")).mapInArrow(blocks, block_type)
-    words = F.concat(F.transform("words", lambda w: fold(w).cast("array<int>")), F.col("done"))
+    words = F.concat(F.transform("words", fold), F.col("done"))
     coded = _let(words, lambda known: F.transform("places", lambda p, i: F.struct(F.get("rows", i).alias("row"), ids_of(p, known).alias("tokens"))))
     # no block is empty; a plain inline would make its array once more, to ask for its size
     coded = held.select(F.inline_outer(coded)).select("row.*", "tokens")
@@ -308,11 +357,6 @@ def _joined(tokens: Column, pieces: Sequence[bytes | None]) -> Column:
     return F.array_join(F.transform(tokens, lambda i: F.get(held, i)), "").cast("binary")
 
 
-def _unmerged(ranks: dict[bytes, int], table: dict[int, int]) -> frozenset[bytes]:
-    """Tokens that their own bytes' merges don't reach: as whole words they are taken as they are."""
-    return frozenset(t for t, r in ranks.items() if len(t) > 1 and heap_merges([ranks[t[i : i + 1]] for i in range(len(t))], table) != [r])
-
-
 def _lists(values: np.ndarray, sizes: Sequence[int] | np.ndarray) -> pa.ListArray:
     """``values`` parted into lists of ``sizes``."""
     offsets = np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int32)
