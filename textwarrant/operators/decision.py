@@ -14,13 +14,14 @@ from textwarrant.functions.clauses import marks_conflict
 from textwarrant.functions.text import let, normalize, runs, words
 from textwarrant.operators import entries as held
 from textwarrant.operators import match, regions
-from textwarrant.operators.meeting import alike_in_length_and_words, estimated, runs_met
+from textwarrant.operators.meeting import alike_in_length_and_words, estimated, near_any, runs_met
 from textwarrant.tables import materialize
 
 
 class Rules(NamedTuple):
     """How texts are read, and from where on what is found counts."""
 
+    #: A text's form is the forms of its words, joined by single spaces.
     normal: held.Normal = normalize
     #: A form that keeps letters which ``normal`` makes alike; None where there are none.
     strict: held.Normal | None = None
@@ -239,7 +240,25 @@ def review(sentences: DataFrame, over: Corpus, rules: Rules = Rules()) -> DataFr
     entry, the stretches of four words and more outside them that stand in an entry.
     If these leave no region and cover ``whole_from`` of the sentence, or there are none, the sentence
     is told whole, by the decision that also looks for parts.
+
+    Most sentences are like no entry, have no run of one and no quotation: they are
+    baseless, which is told in the one pass that reads all (``near_any``). The others are looked at closely.
     """
+    rows = sentences.select("seg", "text")
+    if estimated(rows) <= estimated(over.entries):
+        return _reviewed(rows, over, rules)
+    rows = rows.select("seg", F.length("text").alias("stop"), "text", rules.normal(F.col("text")).alias("form"))
+    told = near_any(rows, held.each_form(over.entries), rules.least_words, rules.run_words, rules.variant, regions.signs(rules.lexicon))
+    told = materialize(told, "review-told")
+    close = _reviewed(told.filter("near").select("seg", "text"), over, rules)
+    fixed = {"start": F.lit(0), "found": F.lit("sentence"), "status": F.lit("baseless"), "others": F.lit(0), "differences": F.array()}
+    rest = told.filter("not near").withColumns(fixed)
+    rest = rest.select(*[(F.col(f.name) if f.name in rest.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in close.schema])
+    return close.unionByName(rest)
+
+
+def _reviewed(sentences: DataFrame, over: Corpus, rules: Rules) -> DataFrame:
+    """:func:`review` of sentences that are all looked at closely."""
     n_words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     marked = F.transform("regions", lambda r, i: F.struct(i.alias("no"), r["start"].alias("start"), r["end"].alias("stop"), r["attributed"].alias("attributed"), regions.trimmed(r["text"]).alias("text")))
     sents = regions.quoted_regions(sentences.select("seg", "text"), rules.lexicon, rules.normal)

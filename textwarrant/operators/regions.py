@@ -23,6 +23,8 @@ MARKS = [
     ("round", r"\((.*?)\)"),
     ("square", r"\[(.*?)\]"),
 ]
+#: What one of these begins with.
+OPENING = "﴾﴿{«“\"(["
 # Words that name the speaker or the book, looked for among so many words before a mark.
 SPEAKER = "تعالى وتعالى سبحانه وسبحانه جل وجل عز وعز وعلا".split()
 CONTEXT = "التنزيل القران الايه الايات ايه كتابه محكم".split()
@@ -152,6 +154,22 @@ def quoted_regions(rows: DataFrame, lexicon: Lexicon = ARABIC, normal: Callable[
     return marked.withColumn("regions", both).drop("_said", "_tokens")
 
 
+def signs(lexicon: Lexicon = ARABIC) -> dict[str, str]:
+    """RE2 patterns for the columns text and form, one of which is found wherever a text has a region.
+
+    An opening mark in the text, or in its form a verb of saying with a name or speaker among the next words.
+    White space that parts words for Python and not for Java counts as a mark, as words are then not those of the form.
+    """
+    listed = lambda words_: "(?:" + "|".join(re.escape(w) for w in words_ if w) + ")"
+    found = {"text": f"[{re.escape(OPENING)}\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"}
+    near = [*lexicon.speaker, *lexicon.others, *lexicon.between]
+    after = [f"{listed(lexicon.names)}(?: |$)"] if any(lexicon.names) else []
+    after += [f"(?:[^ ]+ ){{0,{REACH - 1}}}{listed(near)}(?: |$)"] if any(near) else []
+    if any(lexicon.said) and after:
+        found["form"] = f"(?:^| ){listed(lexicon.said)} (?:{'|'.join(after)})"
+    return found
+
+
 def _marked(text: Column) -> Column:
     """All that stands in marks, of every kind; regions of different kinds may overlap."""
     kinds = [(rank, kind, re.compile(pattern, re.S)) for rank, (kind, pattern) in enumerate(MARKS)]
