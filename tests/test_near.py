@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_decision import LEX, ROWS, RULES, TEXTS
+from textwarrant.functions import fuzzy
 from textwarrant.functions.text import normalize
 from textwarrant.operators import decision, entries, meeting, regions, verify
 
@@ -101,3 +102,12 @@ def test_sentences_like_none_are_not_looked_at_closely(spark, monkeypatch):
     assert {(r.no, r.status): r["count"] for r in got} == {(0, "baseless"): 20, (1, "verified"): 20, (2, "baseless"): 20, (3, "baseless"): 20}
     # the second has words of an entry, the third a mark
     assert read["reviewed"] == 40
+
+
+def test_similarity_that_is_wanted_from_a_threshold_on(spark):
+    draw = random.Random(11)
+    made = lambda: " ".join(draw.choice(["ab", "ba", "abc", "cab", "d"]) for _ in range(draw.randint(0, 9)))
+    rows = spark.createDataFrame([(made(), made()) for _ in range(400)] + [("", ""), (None, "a")], "a string, b string")
+    got = rows.select(F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6).alias("all"), F.round(fuzzy.similarity(F.col("a"), F.col("b"), 0.6), 6).alias("some")).collect()
+    assert all(r.some == r.all for r in got if r.all is not None and r.all >= 0.6) and all(r.some is None or r.some == r.all for r in got)
+    assert sum(r.some is None for r in got) > 50 and sum(r.some is not None for r in got) > 50

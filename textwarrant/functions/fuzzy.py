@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Mean of the Ratcliff-Obershelp ratios of characters and of words."""
+def similarity(a: Column, b: Column, least: float | None = None) -> Column:
+    """Mean of the Ratcliff-Obershelp ratios of characters and of words.
+
+    With ``least`` null where it can't be that, rounded to six places, by words and the characters in common in any order: characters are aligned for the others only.
+    """
 
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        from collections import Counter
         from difflib import SequenceMatcher
 
         def one(x: str, y: str) -> float | None:
             if x is None or y is None:
                 return None
-            chars = SequenceMatcher(None, x, y).ratio()
-            return (chars + SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio()) / 2
+            in_words = SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio()
+            if least is not None:
+                total = len(x) + len(y)
+                most = 2.0 * (Counter(x) & Counter(y)).total() / total if total else 1.0
+                if round((most + in_words) / 2, 6) < least:
+                    return None
+            return (SequenceMatcher(None, x, y).ratio() + in_words) / 2
 
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
 

@@ -137,7 +137,7 @@ def most_alike(segments: DataFrame, over: Corpus, rules: Rules = Rules(), seg: s
         pairs = pairs.select("f", "entry", "kind", "no", F.col("form").alias("b")).join(segs.select("f", seg, F.col("form").alias("a")), "f")
     # the alignments are made once, over all cores however few rows are left
     pairs = materialize(pairs.filter(fuzzy.similarity_bound(F.col("a"), F.col("b")) >= rules.variant), "alike-pairs")
-    scored = pairs.withColumn("score", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6)).filter(F.col("score") >= rules.variant)
+    scored = pairs.withColumn("score", F.round(fuzzy.similarity(F.col("a"), F.col("b"), rules.variant), 6)).filter(F.col("score") >= rules.variant)
     scored = materialize(scored.select(seg, "entry", "kind", "no", "a", "b", "score"), "alike-scored")
     if not scored.isEmpty():
         asked = scored.groupBy(seg).agg(F.first("a").alias("form"))
